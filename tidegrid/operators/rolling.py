@@ -43,7 +43,7 @@ def rolling_totals(df: DataFrame, periods: tuple[int, ...] = (7, 30), signals: t
     Columns: subject_id, day_utc ('YYYY-MM-DD') and for each signal and period {signal}_total_{p}d
     (0 if nothing was usable), {signal}_n_{p}d and {signal}_avg_{p}d (total over n, NULL if n is 0).
     Rows without source or time are left out; what lies before the first row counts as empty.
-    Amounts are exact to a millionth, averages are rounded to it. A source's rows after the daily sums are bounded by its calendar.
+    Amounts are exact to a millionth. A source's rows after the daily sums are bounded by its calendar.
     """
     daily = daily_amounts(df, signals).repartition("subject_id")
     by_day = Window.partitionBy("subject_id").orderBy("day")
@@ -69,7 +69,7 @@ def rolling_totals(df: DataFrame, periods: tuple[int, ...] = (7, 30), signals: t
     for s in signals:
         for p in periods:
             total, n = F.col(f"{s}_sum_{p}") / F.lit(float(UNIT)), F.col(f"{s}_n_{p}")
-            out += [total.alias(f"{s}_total_{p}d"), n.alias(f"{s}_n_{p}d"), F.round(F.when(n > 0, total / n), 6).alias(f"{s}_avg_{p}d")]
+            out += [total.alias(f"{s}_total_{p}d"), n.alias(f"{s}_n_{p}d"), F.when(n > 0, total / n).alias(f"{s}_avg_{p}d")]
     return totals.select(*out)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.operators import gridding, rolling
+from tidegrid.operators import gridding, rolling, spikes
 from tidegrid.session import table
 
 
@@ -24,7 +24,15 @@ def p2_rolling(spark: SparkSession, folder: str) -> DataFrame:
     return rolling.rolling_totals(table(spark, folder, "canonical_records"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p2_rolling": p2_rolling}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spikes.implausible(table(spark, folder, "canonical_records"))
+
+
+def p3_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return spikes.score_readings(table(spark, folder, "canonical_records"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p2_rolling": p2_rolling, "p3_found": p3_found, "p3_scores": p3_scores}
 
 _FIRST_ROWS = """
 first_rows AS (
@@ -71,11 +79,11 @@ FROM cases WHERE n = 0""",
     "p2_rolling": f"""
 WITH {_FIRST_ROWS}
 SELECT subject_id, strftime(DATE '1970-01-01' + CAST(d AS INTEGER), '%Y-%m-%d') AS day_utc,
-  round(coalesce(g7, 0), 6) AS glucose_total_7d, gn7 AS glucose_n_7d, round(g7 / gn7, 6) AS glucose_avg_7d,
-  round(coalesce(g30, 0), 6) AS glucose_total_30d, gn30 AS glucose_n_30d, round(g30 / gn30, 6) AS glucose_avg_30d,
-  round(coalesce(b7, 0), 6) AS bolus_total_7d, bn7 AS bolus_n_7d, round(b7 / bn7, 6) AS bolus_avg_7d,
-  round(coalesce(b30, 0), 6) AS bolus_total_30d, bn30 AS bolus_n_30d, round(b30 / bn30, 6) AS bolus_avg_30d,
-  round(coalesce(c7, 0), 6) AS carbs_total_7d, cn7 AS carbs_n_7d, round(c7 / cn7, 6) AS carbs_avg_7d,
-  round(coalesce(c30, 0), 6) AS carbs_total_30d, cn30 AS carbs_n_30d, round(c30 / cn30, 6) AS carbs_avg_30d
+  round(coalesce(g7, 0), 6) AS glucose_total_7d, gn7 AS glucose_n_7d, round(g7, 6) / gn7 AS glucose_avg_7d,
+  round(coalesce(g30, 0), 6) AS glucose_total_30d, gn30 AS glucose_n_30d, round(g30, 6) / gn30 AS glucose_avg_30d,
+  round(coalesce(b7, 0), 6) AS bolus_total_7d, bn7 AS bolus_n_7d, round(b7, 6) / bn7 AS bolus_avg_7d,
+  round(coalesce(b30, 0), 6) AS bolus_total_30d, bn30 AS bolus_n_30d, round(b30, 6) / bn30 AS bolus_avg_30d,
+  round(coalesce(c7, 0), 6) AS carbs_total_7d, cn7 AS carbs_n_7d, round(c7, 6) / cn7 AS carbs_avg_7d,
+  round(coalesce(c30, 0), 6) AS carbs_total_30d, cn30 AS carbs_n_30d, round(c30, 6) / cn30 AS carbs_avg_30d
 FROM sums""",
 }
