@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import nearest, packing, splits, tokens
+from tidegrid.llm import leaks, nearest, packing, splits, tokens
 from tidegrid.session import micros, table, value_or_null
 
 TOLERANCE_US = 600_000_000
@@ -47,7 +47,15 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_packing(spark, folder).where((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select("doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_packing": p6_packing}
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
+QUERIES = {"p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_packing": p6_packing, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 _LEFT = """
 others AS (
