@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import leaks, nearest, packing, splits, tokens
+from tidegrid.llm import leaks, nearest, packing, reading, splits, tokens
 from tidegrid.session import micros, table, value_or_null
 
 TOLERANCE_US = 600_000_000
@@ -55,7 +55,15 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).select("doc_id", "item_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_packing": p6_packing, "p7_found": p7_found, "p7_leaks": p7_leaks}
+def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "graded_samples"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_levels(spark, folder).where(F.col("band").isNotNull()).select("doc_id", "band")
+
+
+QUERIES = {"p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_packing": p6_packing, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_levels": p8_levels}
 
 _LEFT = """
 others AS (
