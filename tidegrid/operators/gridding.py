@@ -22,8 +22,8 @@ from tidegrid.session import micros, value_or_null
 
 SLOT_US = 300_000_000
 #: Readings of a segment advanced in lock-step, and the readings before and after it that warm it
-#: up. The gain forgets within a few readings; tests compare with an unsegmented smoother.
-CORE, HALO = 256, 48
+#: up: the influence of where a segment starts fades with a scale of (r/q)^(1/4) slots, under 15 by the bounds of r and q.
+CORE, HALO = 384, 96
 
 NODE_FIELDS = (
     "subject_id string, slot bigint, next_slot bigint, first boolean, n_readings bigint, next_readings bigint, "

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid import schema
+from tidegrid.chunks import chunked
 
 
 def floored(us: str = "us", slot_us: int = schema.SLOT_US) -> Column:
@@ -52,11 +53,13 @@ def first_of_each_time(df: DataFrame, seq: str = "seq") -> DataFrame:
     return best.select("subject_id", "us", *(F.col(f"r.{c}").alias(c) for c in keep))
 
 
-def validation(records: DataFrame) -> DataFrame:
+def validation(records: DataFrame, target_rows: int = 1_000_000) -> DataFrame:
     """Findings per record: (subject_id, stream, seq, us, severity, message). Within a stream, in the order given by seq, an
-    earlier time than before is an error and an equal one a warning; negative values are errors."""
-    w = Window.partitionBy("subject_id", "stream").orderBy("seq")
-    before = records.withColumn("before", F.lag("us").over(w))
+    earlier time than before is an error and an equal one a warning; negative values are errors. Streams of more than
+    target_rows records are split into overlapping chunks."""
+    keyed = records.select("subject_id", "stream", "seq", "us", "glucose", "basal_insulin", "bolus_insulin", "carbohydrates", F.concat_ws("\u0000", "subject_id", "stream").alias("key"))
+    w = Window.partitionBy("key", "chunk").orderBy("seq")
+    before = chunked(keyed, "key", "seq", target_rows).withColumn("before", F.lag("us").over(w)).where("core")
     finding = lambda when, severity, text: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(text).alias("message")))
     found = [finding(F.col("us") < F.col("before"), "error", "Non-chronological ordering"), finding(F.col("us") == F.col("before"), "warning", "Duplicate timestamp")]
     for v, stream, text in (("glucose", "cgm", "glucose value"), ("basal_insulin", "insulin", "basal insulin"), ("bolus_insulin", "insulin", "bolus insulin"), ("carbohydrates", "meal", "carbohydrates")):
