@@ -42,7 +42,7 @@ def cohort_stats(manifest: DataFrame, **bounds) -> DataFrame:
 def glucose_profile(df: DataFrame) -> DataFrame:
     g = value_or_null("glucose")
     df = df.agg(F.count(g).alias("n"), F.min(g).alias("min_glucose"), F.max(g).alias("max_glucose"), F.avg(g).alias("mean_glucose"), F.count_if(g < schema.LOW).alias("n_below_70"), F.count_if(g < schema.VERY_LOW).alias("n_below_54"))
-    return df.select("*", (100.0 * F.col("n_below_70") / F.col("n")).alias("pct_below_70"), (100.0 * F.col("n_below_54") / F.col("n")).alias("pct_below_54"))
+    return df.select("*", *(F.when(F.col("n") > 0, 100.0 * F.col(f"n_below_{t}") / F.col("n")).alias(f"pct_below_{t}") for t in (70, 54)))
 
 
 def amount_profile(df: DataFrame, columns: Sequence[str] = ("insulin", "basal", "bolus")) -> DataFrame:
