@@ -58,7 +58,7 @@ def pack(sizes: DataFrame, capacity: int = 4096, group_items: int = GROUP_ITEMS,
         .withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(seed)), F.lit(groups)).cast("int"))
     )
 
-    def fill(key, items: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["doc_id", "piece"], ignore_index=True)
         size = items.n_tokens.to_numpy()
         container = first_fit_decreasing(np.maximum(size, 0), capacity) + (int(key[0]) << 32)

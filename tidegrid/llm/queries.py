@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import leaks, nearest, packing, reading, splits, tokens
-from tidegrid.session import micros, table, value_or_null
+from tidegrid.session import checkpointed, micros, table, value_or_null
 
 TOLERANCE_US = 600_000_000
 STREAMS = {

@@ -97,7 +97,7 @@ def swap_search(components: DataFrame, proportions=PROPORTIONS, rounds: int = 3,
         sums = {r["split"]: r for r in state.groupBy("split").agg(F.sum("n_rows").alias("rows"), F.sum("n_positive").alias("positive")).collect()}
         excess = np.array([[(sums[k][c] if k in sums else 0) - proportions[k] * (total[c] or 0) for k in range(3)] for c in ("rows", "positive")], float)
 
-        def search(key, block: pd.DataFrame) -> pd.DataFrame:
+        def search(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
             # the wanted sums of a block: what it holds now, less its share of the overall excess
             block = block.sort_values("component", ignore_index=True)
             size, positive, split = block.n_rows.to_numpy(float), block.n_positive.to_numpy(float), block.split.to_numpy()
