@@ -39,7 +39,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_packing(spark: SparkSession, folder: str) -> DataFrame:
-    counts = tokens.token_counts(table(spark, folder, "documents"))
+    # kept, since counting the items and packing them both need the sizes
+    counts = checkpointed(tokens.token_counts(table(spark, folder, "documents")))
     return packing.pack(counts)
 
 
