@@ -81,6 +81,14 @@ def test_odd_input(spark):
     assert got == {(5, "impossible"), (None, None), (7, "impossible")}
 
 
+def test_source_in_another_unit(spark):
+    t, y = source(6)
+    rows = [(i, "mmol", float(t[i]), round(float(y[i]) / 18.016, 2)) for i in range(200)] + [(999, "mmol", 5000.0, 120.0)]
+    rows += [(2000 + i, "broken", float(t[i]), 100.0 + i % 3 if i < 15 else 1.0 + i % 7 / 10) for i in range(60)]
+    found = {r.record_id for r in spikes.implausible(canonical(spark, rows)).collect()}
+    assert 999 in found and found - {999} == set(range(2015, 2060))
+
+
 def test_constant_source(spark):
     rows = [(i, "s", 5.0 * i, 100.0) for i in range(40)]
     assert {r.rule for r in spikes.score_readings(canonical(spark, rows)).collect()} <= {"frozen", None}

@@ -22,8 +22,8 @@ from tidegrid.session import micros
 #: Of each signal: physical limits; least typical step; and the other unit, as (bounds of the source's median
 #: that tell the unit, factor and offset to the usual one).
 SIGNALS = {
-    "glucose": {"limits": (20.0, 600.0), "step": 1.5, "other": (0.0, 40.0, 18.016, 0.0)},
-    "heart_rate": {"limits": (25.0, 250.0), "step": 1.0, "other": (0.0, 5.0, 60.0, 0.0)},
+    "glucose": {"limits": (20.0, 600.0), "step": 1.5, "other": (3.0, 30.0, 18.016, 0.0)},
+    "heart_rate": {"limits": (25.0, 250.0), "step": 1.0, "other": (0.6, 3.5, 60.0, 0.0)},
     "skin_temperature": {"limits": (15.0, 45.0), "step": 0.05, "other": (60.0, 130.0, 1 / 1.8, -32 / 1.8)},
 }
 RULES = np.array(["", "impossible", "unit", "spike", "frozen"], dtype=object)
@@ -123,7 +123,7 @@ def judge(signal: str, group: np.ndarray, us: np.ndarray, value: np.ndarray, odd
     alike = value == value[o][origin]
     row_leap = np.where(alike, row_leap, np.where(impossible, 0, np.where(away > 2 * LEAP, away, 0)))
     row_run = np.where(alike, row_run, 1)
-    # features: level, difference, season (hour of day), run length
+    # features: level, difference, season (hour of day), run length, and that against chance
     hour = (us // 3_600_000_000) % 24
     cell = group * 24 + hour
     by_hour = np.full(groups * 24, np.nan)
@@ -140,6 +140,7 @@ def judge(signal: str, group: np.ndarray, us: np.ndarray, value: np.ndarray, odd
             np.log1p(clean(np.maximum(row_leap, np.where(impossible, far, 0)))),
             np.log1p(clean(np.abs(x - season) / spread[group])),
             np.log2(np.minimum(row_run, 64)),
+            np.log1p(np.minimum(row_run / least[group], 8) ** 2),
         ],
         axis=1,
     )
