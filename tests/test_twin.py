@@ -77,3 +77,13 @@ def test_scenarios_are_checked(bad):
 def test_stays_finite(spark):
     rows = [{"minutes": 5 * i, "glucose": 100.0 if i < 10 else None, "bolus_insulin": 3.0} for i in range(210)]
     assert twin.states(readings(spark, rows)).where("glucose < 10 or isnan(glucose) or insulin_state < 0").count() == 0
+
+
+def test_fitted_states(spark):
+    rows = [{"minutes": 5 * i, "glucose": 100.0 + i} for i in range(20)] + [{"subject_id": "few", "minutes": 5 * i, "glucose": 90.0 if i in (2, 4, 6) else None} for i in range(12)]
+    rows += [{"subject_id": "none", "minutes": 5 * i, "glucose": 90.0 if i < 2 else None} for i in range(12)] + [{"subject_id": "short", "minutes": 5 * i, "glucose": 90.0} for i in range(9)]
+    d = twin.fitted_states(readings(spark, rows))
+    got = {r.subject_id: r for r in twin.latest(d).collect()}
+    assert set(got) == {"s", "few"} and got["s"].baseline == 109.5 and got["few"].baseline == 110.0 and got["few"].missing_glucose == 1
+    assert d.where("subject_id = 's'").count() == 11 and d.where("subject_id = 'few'").count() == 6
+    assert twin.at_times(d, d.where("subject_id = 'few'").limit(2)).count() == 2

@@ -49,7 +49,7 @@ def step(state: tuple, glucose: float | None, carbs: float, bolus: float, basal:
     return glucose, after_action, after_insulin, after_meal
 
 
-def scan(batches: Iterator[pa.RecordBatch], p: Parameters) -> Iterator[pa.RecordBatch]:
+def scan(batches: Iterator[pa.RecordBatch], p: Parameters, refresh: int | None = REFRESH) -> Iterator[pa.RecordBatch]:
     """mapInArrow body over (subject_id, us, n_known, burn_end, burn_mean, glucose, basal_insulin, bolus_insulin,
     carbohydrates) sorted by subject and time, holding the state of one subject only."""
     names = [f.split()[0] for f in STATE.split(", ")]
@@ -68,10 +68,12 @@ def scan(batches: Iterator[pa.RecordBatch], p: Parameters) -> Iterator[pa.Record
                 else:
                     state = step(state, glucose, carbs or 0.0, bolus or 0.0, basal or 0.0, (us - at) / MINUTE_US, baseline, p)
                 at = us
+                if refresh is None and us == end:
+                    out.append((sid, us, *state, baseline, 0, 0))
                 continue
             if glucose is not None:
                 count, total = count + 1, total + glucose
-            if count % REFRESH == 0:
+            if refresh and count % refresh == 0:
                 baseline = total / count
             minutes = (us - at) / MINUTE_US
             state = step(state, glucose, carbs or 0.0, bolus or 0.0, basal or 0.0, minutes, baseline, p)
@@ -98,6 +100,21 @@ def states(readings: DataFrame, parameters: Parameters = Parameters()) -> DataFr
     return rows.sortWithinPartitions("subject_id", "us").mapInArrow(lambda it: scan(it, parameters), STATE)
 
 
+def fitted_states(readings: DataFrame, parameters: Parameters = Parameters()) -> DataFrame:
+    """State from the end of the burn-in on, with the baseline of the subject's whole history: for a view of its latest
+    state, not for features of earlier rows, which would know what came later.
+
+    Needs ten rows, three of them with glucose; up to ten of those burn in. With fewer than ten the baseline is the population's.
+    """
+    w = Window.partitionBy("subject_id").orderBy("us")
+    whole = Window.partitionBy("subject_id")
+    rows = readings.select("subject_id", "us", "glucose", "basal_insulin", "bolus_insulin", "carbohydrates", F.count("glucose").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_k"), F.count("glucose").over(whole).alias("_n"), F.count("*").over(whole).alias("_rows"), F.avg("glucose").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_mean"))
+    rows = rows.where((F.col("_rows") >= 10) & (F.col("_n") >= 3))
+    last = F.col("glucose").isNotNull() & (F.col("_k") == F.least(F.lit(BURN_IN), F.col("_n")))
+    rows = rows.select("*", F.max(F.when(last, F.col("us"))).over(whole).alias("burn_end"), F.when(F.col("_n") >= BURN_IN, F.col("_mean")).otherwise(F.lit(parameters.baseline)).alias("burn_mean")).drop("_k", "_n", "_rows", "_mean")
+    return rows.sortWithinPartitions("subject_id", "us").mapInArrow(lambda it: scan(it, parameters, None), STATE)
+
+
 def clamped(value: Column, floor: float = 0.0) -> Column:
     return F.when((value > floor) & ~F.isnan(value), value).otherwise(F.lit(floor))
 
@@ -203,6 +220,11 @@ def what_if_rows(result: DataFrame, digits: int | None = 2) -> DataFrame:
     return d.select("subject_id", "us", "scenario", ((F.col("k") + 1) * STEP_MINUTES).alias("offset_minutes"), F.col("v.baseline_path").alias("baseline_glucose"), F.col("v.scenario_path").alias("scenario_glucose"), delta.alias("delta"))
 
 
+def at_times(state: DataFrame, targets: DataFrame) -> DataFrame:
+    """States at the wanted (subject_id, us) only; what follows is then computed for those rows."""
+    return state.join(targets.select("subject_id", "us").distinct(), ["subject_id", "us"], "left_semi")
+
+
 def latest(state: DataFrame) -> DataFrame:
     """Last state of every subject."""
     names = [c for c in state.columns if c != "subject_id"]

@@ -126,6 +126,16 @@ states(subject_id, us, n, glucose, insulin_action, insulin_state, meal_state, ba
   FROM states s JOIN inputs i ON i.subject_id = s.subject_id AND i.n = s.n + 1),
 twin AS (SELECT * EXCLUDE (n, after_burn) FROM states WHERE after_burn)"""
 
+#: The same with the baseline of the whole history, from the end of the burn-in on.
+FITTED_SQL = (
+    STATES_SQL.replace("sum(glucose) OVER upto AS s FROM", "sum(glucose) OVER upto AS s, count(glucose) OVER (PARTITION BY subject_id) AS total, avg(glucose) OVER (PARTITION BY subject_id) AS mean FROM")
+    .replace("FILTER (k = 10 AND glucose IS NOT NULL)", "FILTER (k = least(10, total) AND glucose IS NOT NULL)")
+    .replace("list_sum(list(glucose ORDER BY us) FILTER (k <= 10 AND glucose IS NOT NULL)) / 10.0 AS burn_mean", "CASE WHEN max(total) >= 10 THEN max(mean) ELSE 110.0 END AS burn_mean")
+    .replace("HAVING max(k) >= 10", "HAVING max(k) >= 3 AND count(*) >= 10")
+    .replace("CASE WHEN c.us > b.burn_end AND k % 100 = 0 THEN s / k END", "CAST(NULL AS DOUBLE)")
+    .replace("CAST(i.minutes > 15 AS INTEGER), i.us > i.burn_end", "CASE WHEN i.us > i.burn_end AND i.minutes > 15 THEN 1 ELSE 0 END, i.us >= i.burn_end")
+)
+
 
 def paths_sql(source: str, carbs: str = "0.0", bolus: str = "0.0", name: str = "paths", steps: int = 12) -> str:
     """Recursive CTE of simulated glucose: one row per step k of every row of source."""

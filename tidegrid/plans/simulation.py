@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid import schema
-from tidegrid.operators import features, metrics, models, splits, twin
-from tidegrid.plans.common import CURRENT_SQL, READINGS_SQL, STATES_SQL, WINDOWS, lag_sql, paths_sql, readings, rounded, twin_states
+from tidegrid.operators import features, metrics, models, profile, splits, twin
+from tidegrid.plans.common import CURRENT_SQL, FITTED_SQL, READINGS_SQL, STATES_SQL, WINDOWS, lag_sql, paths_sql, readings, rounded, twin_states
 
 SCENARIOS = [twin.meal(50.0, 15.0), twin.insulin(2.0, 10.0)]
 GRID = [twin.meal(float(grams), 10.0) for grams in (20, 40, 60)] + [twin.insulin(float(units), 20.0) for units in (1, 3)]
@@ -18,6 +18,15 @@ def forecast_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(d.select("subject_id", "us", F.posexplode("forecast").alias("k", "simulated")).select("subject_id", "us", ((F.col("k") + 1) * 5).alias("offset_minutes"), "simulated"))
 
 
+def latest_inference(spark: SparkSession, folder: str) -> DataFrame:
+    """Per subject the latest state under the baseline of its history, the simulator's features there, and the quality of the data."""
+    rows = readings(spark, folder)
+    now = twin.latest(twin.fitted_states(rows))
+    d = twin.twin_features(now).join(now.select("subject_id", "baseline"), "subject_id").join(profile.quality(rows).select("subject_id", "n_records", "cgm_availability_pct", "n_gaps_over_10m"), "subject_id")
+    digits = {"baseline": 9}
+    return d.select(*(F.round(c, digits.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes))
+
+
 def _what_if(scenarios: list[twin.Scenario]):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         d = rounded(twin.what_if_rows(twin.what_if(twin.latest(twin_states(spark, folder)), scenarios), digits=None))
@@ -96,6 +105,7 @@ QUERIES = {
     "twin_states": lambda s, d: rounded(twin_states(s, d)),
     "twin_forecast": forecast_rows,
     "twin_features": lambda s, d: rounded(twin.twin_features(twin_states(s, d))),
+    "latest_inference": latest_inference,
     "whatif_meal": _what_if(SCENARIOS[:1]),
     "whatif_insulin": _what_if(SCENARIOS[1:]),
     "whatif_grid": _what_if(GRID),
@@ -154,6 +164,11 @@ SQL = {
     "twin_states": f"WITH RECURSIVE {STATES_SQL} SELECT subject_id, us, round(glucose, 6) AS glucose, round(insulin_action, 6) AS insulin_action, round(insulin_state, 6) AS insulin_state, round(meal_state, 6) AS meal_state, round(baseline, 6) AS baseline, missing_glucose, long_gap FROM twin",
     "twin_forecast": f"WITH RECURSIVE {STATES_SQL}, {_LATEST}, starts AS ({_PLAIN.format('latest')}), {paths_sql('starts')} SELECT subject_id, us, CAST(k * 5 AS INTEGER) AS offset_minutes, round(g, 6) AS simulated FROM paths WHERE k > 0",
     "twin_features": f"WITH RECURSIVE {STATES_SQL}, {_FEATURES} SELECT t.subject_id, t.us, {_TWIN_COLUMNS} FROM twin t JOIN wide USING (subject_id, us)",
+    "latest_inference": f"""WITH RECURSIVE {FITTED_SQL}, {_LATEST}, starts AS ({_PLAIN.format('latest')}),
+{_FEATURES.partition(chr(10))[2]},
+q AS (SELECT subject_id, count(*) AS n_records, round(100.0 * count(glucose) / count(*), 1) AS cgm_availability_pct, count(*) FILTER (gap > 10) AS n_gaps_over_10m
+  FROM (SELECT *, (us - lag(us) OVER (PARTITION BY subject_id ORDER BY us)) / 60000000.0 AS gap FROM readings) GROUP BY subject_id)
+SELECT t.subject_id, t.us, {_TWIN_COLUMNS}, round(baseline, 9) AS baseline, n_records, cgm_availability_pct, n_gaps_over_10m FROM latest t JOIN wide USING (subject_id, us) JOIN q USING (subject_id)""",
     "whatif_meal": _scenarios(SCENARIOS[:1]),
     "whatif_insulin": _scenarios(SCENARIOS[1:]),
     "whatif_grid": _scenarios(GRID),
