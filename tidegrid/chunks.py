@@ -2,41 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most this many keys can hold more than 1/HOT_KEYS of the rows, so the table of hot keys may be broadcast.
-HOT_KEYS = 1024
+from tidegrid.session import checkpointed
+
+#: Quantile cells of a hot key; chunks are made of whole cells or, for the largest keys, of equal parts of cells.
 CELLS = 256
+#: Cells of a chunk, at least: the margin is one cell, so at most 2/16 of a hot key's rows are repeated.
+CHUNK_CELLS = 16
+#: Hot keys up to which their borders (about 2 KB each) are broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 1024
+
+
+def hot_keys(df: DataFrame, key: str, order: str, target_rows: int) -> DataFrame | None:
+    """Keys with more than target_rows rows: (key, borders, parts, per_chunk), or None if there are none.
 
+    borders are approximate quantiles of the order column from its least to its largest value; parts is into how many each cell
+    is divided and per_chunk how many of those make a chunk of about target_rows rows.
+    """
+    counts = checkpointed(df.groupBy(key).agg(F.count("*").alias("count")).where(F.col("count") > target_rows))
+    found = counts.count()
+    if not found:
+        return None
+    small = found <= BROADCAST_KEYS
+    wanted = counts.select(key)
+    fractions = F.array(*(F.lit(i / CELLS) for i in range(CELLS + 1)))
+    borders = df.join(F.broadcast(wanted) if small else wanted, key, "left_semi").groupBy(key).agg(F.percentile_approx(order, fractions, F.lit(4 * CELLS)).alias("borders"), F.count("*").alias("count"))
+    chunks = F.ceil(F.col("count") / F.lit(target_rows))
+    parts = F.ceil(chunks * F.lit(CHUNK_CELLS) / F.lit(CELLS)).cast("int")
+    hot = borders.select(key, "borders", parts.alias("parts"), F.ceil(parts * F.lit(CELLS) / chunks).cast("int").alias("per_chunk"))
+    return F.broadcast(hot) if small else hot
 
-def hot_keys(df: DataFrame, key: str, order: str, target_rows: int) -> DataFrame:
-    """Keys with more than target_rows rows and more than 1/HOT_KEYS of all: at most HOT_KEYS
-    rows (key, cell_borders, cells_per_chunk). The borders are approximate quantiles of the order
-    column, so chunks hold about equally many rows; ties never fall on both sides of one."""
-    total = df.count()
-    counts = df.groupBy(key).count().where(F.col("count") > max(target_rows, total // HOT_KEYS))
-    fractions = F.array(*(F.lit(i / CELLS) for i in range(1, CELLS)))
-    chunks = F.least(F.lit(64), F.ceil(F.col("count") / F.lit(target_rows)))
-    borders = (
-        df.join(F.broadcast(counts.select(key)), key, "left_semi")
-        .groupBy(key)
-        .agg(F.percentile_approx(order, fractions, F.lit(4 * CELLS)).alias("cell_borders"), F.count("*").alias("count"))
-    )
-    return borders.select(key, "cell_borders", F.ceil(F.lit(CELLS) / chunks).cast("int").alias("cells_per_chunk"))
+
+def cell_of(order: str) -> tuple[Column, Column]:
+    """Cell in which a value lies, and number of its part of that cell (given _cell). Equal values lie in the same."""
+    inner = F.slice("borders", 2, CELLS - 1)
+    cell = F.aggregate(inner, F.lit(0), lambda n, b: n + F.when(b <= F.col(order), 1).otherwise(0))
+    low, high = F.get("borders", F.col("_cell")), F.get("borders", F.col("_cell") + 1)
+    part = F.floor((F.col(order) - low) * F.col("parts") / F.greatest(high - low, F.lit(1)))
+    within = F.greatest(F.lit(0), F.least(F.col("parts") - 1, part)).cast("int")
+    return cell, F.col("_cell") * F.col("parts") + within
 
 
 def chunked(df: DataFrame, key: str, order: str, target_rows: int) -> DataFrame:
-    """Adds chunk (0 for keys that aren't hot) and core. Rows of a hot key in the first or last cell of a chunk
-    are repeated, with core = false, in the chunk beside it, as context for what looks at neighbours."""
-    hot = F.broadcast(hot_keys(df, key, order, target_rows))
-    cell = F.aggregate("cell_borders", F.lit(0), lambda n, b: n + F.when(b <= F.col(order), 1).otherwise(0))
-    rows = df.join(hot, key, "left").withColumn("cell", F.when(F.col("cell_borders").isNull(), F.lit(None).cast("int")).otherwise(cell)).drop("cell_borders")
-    size = F.col("cells_per_chunk")
-    home = F.floor(F.col("cell") / size).cast("int")
-    before = F.when((F.col("cell") % size == 0) & (F.col("cell") > 0), home - 1)
-    after = F.when((F.col("cell") % size == size - 1) & (F.col("cell") < CELLS - 1), home + 1)
-    places = F.when(F.col("cell").isNull(), F.array(F.struct(F.lit(0).alias("chunk"), F.lit(True).alias("core")))).otherwise(
-        F.filter(F.array(F.struct(home.alias("chunk"), F.lit(True).alias("core")), F.struct(before.alias("chunk"), F.lit(False).alias("core")), F.struct(after.alias("chunk"), F.lit(False).alias("core"))), lambda x: x["chunk"].isNotNull())
-    )
-    return rows.select("*", F.inline(places)).drop("cell", "cells_per_chunk")
+    """Adds chunk (0 for keys that aren't hot) and core. order is a whole number.
+
+    Rows of a hot key in the first or last cell of a chunk are repeated, with core = false, in the chunk beside it, as
+    context for what looks at neighbours. Every row has exactly one row with core = true.
+    """
+    df = df.drop("chunk", "core")
+    hot = hot_keys(df, key, order, target_rows)
+    if hot is None:
+        return df.select("*", F.lit(0).alias("chunk"), F.lit(True).alias("core"))
+    cell, place = cell_of(order)
+    is_hot = F.col("borders").isNotNull()
+    rows = df.join(hot, key, "left").withColumn("_cell", F.when(is_hot, cell)).withColumn("_place", F.when(is_hot, place)).drop("borders", "_cell")
+    size = F.col("per_chunk")
+    home = F.floor(F.col("_place") / size).cast("int")
+    last = F.lit(CELLS) * F.col("parts") - 1
+    at = lambda chunk, core: F.struct(chunk.alias("chunk"), F.lit(core).alias("core"))
+    before = F.when((F.col("_place") % size == 0) & (F.col("_place") > 0), home - 1)
+    after = F.when((F.col("_place") % size == size - 1) & (F.col("_place") < last), home + 1)
+    places = F.when(F.col("_place").isNull(), F.array(at(F.lit(0), True))).otherwise(F.filter(F.array(at(home, True), at(before, False), at(after, False)), lambda x: x["chunk"].isNotNull()))
+    return rows.select("*", F.inline(places)).drop("_place", "parts", "per_chunk")
