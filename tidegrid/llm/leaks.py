@@ -245,6 +245,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, block_items:
         block = sorted((r["item_id"], r["item_text"]) for r in part.collect())
         if block:
             key = hashlib.sha256(repr(block).encode()).hexdigest()
-            found = docs.select("doc_id", "text").mapInArrow(lambda it, b=block, c=key: scan(it, b, c, share), OUTPUT)
+            shared = spark.sparkContext.broadcast(block)
+            found = docs.select("doc_id", "text").mapInArrow(lambda it, b=shared, c=key: scan(it, b.value, c, share), OUTPUT)
             result = found if k == 0 else result.unionByName(found)
     return result
