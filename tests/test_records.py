@@ -1,5 +1,4 @@
 import math
-import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.helpers import START_US, readings
 from tidegrid import schema
 from tidegrid.operators import features, profile, splits, sync
-from tidegrid.sources import adapters, parquet, sinks, xml
+from tidegrid.sources import adapters, generated, parquet, sinks, xml
 from tidegrid.plans.records import XML_SAMPLE
 
 MIN = 60_000_000
@@ -165,7 +164,14 @@ def test_profiles_of_odd_input(spark):
 
 
 def test_generated_frame(spark):
-    d = parquet.modelling_frame(spark, 500)
+    d = generated.modelling_frame(spark, 500)
     assert d.count() == 500 and {r[0] for r in d.select("future_hypoglycemia_30m").distinct().collect()} == {0.0, 1.0}
     names, clean = features.sanitised(d.withColumn("bad", F.lit(math.inf)), "future_hypoglycemia_30m")
     assert "bad" in names and not any(n.startswith("future_") for n in names) and clean.where("bad is not null").count() == 0
+
+
+def test_demo(spark):
+    d = generated.demo_readings(spark)
+    assert d.count() == 72 and d.collect() == generated.demo_readings(spark).collect()
+    row = profile.quality(d).first()
+    assert (row.n_records, row.meal_records, row.insulin_records, row.cgm_availability_pct) == (72, 1, 72, 100.0) and 40 <= row.min_glucose < row.max_glucose

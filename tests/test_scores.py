@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.operators import metrics, models
-from tidegrid.sources import parquet
+from tidegrid.sources import generated
 
 
 def frame(spark, seed=0, n=400, ties=True):
@@ -77,7 +77,7 @@ def test_forecast_error(spark):
 
 def test_models(spark):
     names = ["glucose_current", "glucose_roc_5m"]
-    rows = models.prepared(parquet.modelling_frame(spark, 1500), names, "future_hypoglycemia_30m").withColumn("split", F.when(F.rand(1) < 0.6, "train").when(F.rand(2) < 0.5, "validation").otherwise("test")).persist()
+    rows = models.prepared(generated.modelling_frame(spark, 1500), names, "future_hypoglycemia_30m").withColumn("split", F.when(F.rand(1) < 0.6, "train").when(F.rand(2) < 0.5, "validation").otherwise("test")).persist()
     model = models.boosted(rows.where("split = 'train'"), names, trees=5, depth=3)
     scored = models.scored(model, rows.where("split = 'test'"))
     assert metrics.roc_auc(scored).first().roc_auc > 0.9

@@ -1,11 +1,9 @@
-"""Parquet metadata, column classification and generated frames."""
+"""Parquet metadata and column classification."""
 
 from __future__ import annotations
 
-import math
-
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that tell what a column holds, by group.
@@ -49,20 +47,3 @@ def file_metadata(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["file_path", "n_row_groups", "n_rows", "n_columns", "file_size"])
 
     return files.mapInArrow(footers, "file_path string, n_row_groups bigint, n_rows bigint, n_columns bigint, file_size bigint")
-
-
-def modelling_frame(spark: SparkSession, rows: int, seed: int = 42, start_us: int = 1_767_225_600_000_000) -> DataFrame:
-    """Generated five-minute series with a slow wave, noise, boluses and meals (subject_id, us, five features and two labels)."""
-    wave = F.sin(F.col("id") * F.lit(2 * math.pi / 288))
-    glucose = 120 + 50 * wave + 5 * F.randn(seed)
-    base = spark.range(rows).select(
-        F.lit("synthetic").alias("subject_id"),
-        (F.lit(start_us) + F.col("id") * 300_000_000).alias("us"),
-        glucose.alias("glucose_current"),
-        (10 * F.cos(F.col("id") * F.lit(2 * math.pi / 288)) / 5 + 0.2 * F.randn(seed + 1)).alias("glucose_roc_5m"),
-        F.when(F.rand(seed + 2) < 0.1, 4 * F.rand(seed + 3)).otherwise(0.0).alias("insulin_bolus_last_30m"),
-        F.when(F.rand(seed + 4) < 0.1, 60 * F.rand(seed + 5)).otherwise(0.0).alias("carbs_last_30m"),
-        F.when((F.col("id") % 288 >= 264) | (F.col("id") % 288 < 72), 1).otherwise(0).alias("is_night_clock_based"),
-    )
-    low = lambda minutes: F.when(F.col("glucose_current") + minutes * F.col("glucose_roc_5m") < 70, 1.0).otherwise(0.0)
-    return base.select("*", low(30).alias("future_hypoglycemia_30m"), low(60).alias("future_hypoglycemia_60m"))
