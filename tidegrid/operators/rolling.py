@@ -58,11 +58,14 @@ def rolling_totals(df: DataFrame, periods: tuple[int, ...] = (7, 30), signals: t
                     fields.append((F.col(f"{s}_{kind}") * F.lit(sign[p])).cast("bigint").alias(f"{s}_{kind}_{p}"))
         return F.struct(*fields)
 
-    contributions = [moved(0, dict.fromkeys(periods, 1))] + [moved(p, {x: -1 if x == p else 0 for x in periods}) for p in periods]
-    deltas = daily.select("subject_id", "last_day", F.inline(F.array(*contributions))).where(F.col("day") <= F.col("last_day")).drop("last_day")
-    names = [x for x in deltas.columns if x not in ("subject_id", "day")]
-    empty = daily.where(F.col("next_day") > F.col("day") + 1).select("subject_id", F.explode(F.sequence(F.col("day") + 1, F.col("next_day") - 1)).alias("day"), *(F.lit(0).cast("bigint").alias(x) for x in names))
-    per_day = deltas.unionByName(empty).groupBy("subject_id", "day").agg(*(F.sum(x).alias(x) for x in names))
+    contributions = F.array(moved(0, dict.fromkeys(periods, 1)), *(moved(p, {x: -1 if x == p else 0 for x in periods}) for p in periods))
+    names = [f"{s}_{kind}_{p}" for p in periods for s in signals for kind in ("sum", "n")]
+    # days without rows up to the next day with some
+    gap = F.when(F.col("next_day") > F.col("day") + 1, F.sequence(F.col("day") + 1, F.col("next_day") - 1))
+    empty = F.transform(gap, lambda d: F.struct(d.alias("day"), *(F.lit(0).cast("bigint").alias(x) for x in names)))
+    every = F.when(gap.isNull(), contributions).otherwise(F.concat(contributions, empty))
+    deltas = daily.select("subject_id", "last_day", F.inline(every)).where(F.col("day") <= F.col("last_day")).drop("last_day")
+    per_day = deltas.groupBy("subject_id", "day").agg(*(F.sum(x).alias(x) for x in names))
     running = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = per_day.select("subject_id", "day", *(F.sum(x).over(running).alias(x) for x in names))
     out = [F.col("subject_id"), F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("day_utc")]
