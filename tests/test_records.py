@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import START_US, readings
 from tidegrid import schema
-from tidegrid.operators import features, profile, splits, sync
+from tidegrid.operators import features, joins, profile, splits, sync
 from tidegrid.sources import adapters, generated, parquet, sinks, xml
 from tidegrid.plans.records import XML_SAMPLE
 
@@ -175,3 +175,19 @@ def test_demo(spark):
     assert d.count() == 72 and d.collect() == generated.demo_readings(spark).collect()
     row = profile.quality(d).first()
     assert (row.n_records, row.meal_records, row.insulin_records, row.cgm_availability_pct) == (72, 1, 72, 100.0) and 40 <= row.min_glucose < row.max_glucose
+
+
+def test_joins(spark, tmp_path):
+    a = readings(spark, [{"minutes": 5 * i, "glucose": 100.0 + i} for i in range(6)]).select("subject_id", "us", "glucose")
+    b = a.where("glucose > 102").select("subject_id", "us", (F.col("glucose") * 2).alias("double"), F.lit(0.0).alias("glucose"))
+    assert [(r.glucose, r.double) for r in joins.with_features(a, b).orderBy("us").collect()] == [(100, None), (101, None), (102, None), (103, 206), (104, 208), (105, 210)]
+    assert joins.with_features(a, b.limit(0)).where("double is null").count() == 6
+    left = spark.range(0, 50).select((49 - F.col("id")).alias("x")).repartition(3)
+    right = spark.range(100, 140).withColumnRenamed("id", "y").repartition(5)
+    pairs = joins.side_by_side(left, right, ("x",), ("y",)).collect()
+    assert sorted((r.x, r.y) for r in pairs if r.y) == [(i, 100 + i) for i in range(40)] and len(pairs) == 50
+    assert joins.side_by_side(left.limit(0), right.limit(0), ("x",), ("y",)).count() == 0
+    got = a.select("us", joins.at_lag("glucose", 10).alias("lag"), joins.last_time(F.col("glucose") == 101).alias("t")).orderBy("us").collect()
+    assert [r.lag for r in got] == [None, None, 100, 101, 102, 103] and got[0].t is None and got[5].t == got[1].us
+    a.write.parquet(str(tmp_path / "p"))
+    assert parquet.sql_over(spark, str(tmp_path / "p"), "select count(*) as n from {rows} where glucose > 102").first().n == 3

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid import schema
-from tidegrid.operators import features, metrics, models, profile, splits, twin
+from tidegrid.operators import features, joins, metrics, models, profile, splits, twin
 from tidegrid.plans.common import CURRENT_SQL, FITTED_SQL, READINGS_SQL, STATES_SQL, WINDOWS, lag_sql, paths_sql, readings, rounded, twin_states
 
 SCENARIOS = [twin.meal(50.0, 15.0), twin.insulin(2.0, 10.0)]
@@ -57,7 +57,7 @@ def _errors(spark: SparkSession, folder: str, observed) -> DataFrame:
 def hybrid_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Features and labels joined with the simulator's features, with a split by subject."""
     df = features.with_labels(features.baseline_features(features.context_features(features.glucose_features(readings(spark, folder)))))
-    df = df.join(twin.twin_features(twin_states(spark, folder)), ["subject_id", "us"], "left")
+    df = joins.with_features(df, twin.twin_features(twin_states(spark, folder)))
     return splits.positional(df)
 
 

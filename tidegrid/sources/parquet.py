@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words that tell what a column holds, by group.
@@ -19,6 +19,11 @@ GROUPS = {
 }
 
 
+def sql_over(spark: SparkSession, path: str, statement: str) -> DataFrame:
+    """Result of a SQL statement in which {rows} stands for the Parquet files at path; filters and columns reach the scan."""
+    return spark.sql(statement, rows=spark.read.parquet(path))
+
+
 def semantic_columns(df: DataFrame) -> DataFrame:
     """(group, keyword, status, column_name): CONFIRMED where a column equals a keyword whatever the case, POSSIBLE
     where it holds it, NOT FOUND (column NULL) where no column does. Reads the schema only."""
