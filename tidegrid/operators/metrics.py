@@ -168,11 +168,11 @@ def persistence(low: float = schema.LOW) -> Column:
     return F.when(g < low, 0.9).when(close & (roc < -1.0), 0.7).when(close & (roc >= -1.0) & (roc < 0), 0.4).otherwise(0.0)
 
 
-def forecast_error(df: DataFrame, predicted: str, observed: str) -> DataFrame:
-    """(n_valid, mae, rmse, median_ae, bias) over the pairs without NULL or NaN."""
+def forecast_error(df: DataFrame, predicted: str, observed: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(n_valid, mae, rmse, median_ae, bias) over the pairs without NULL or NaN, by the keys."""
     p, o = F.col(predicted), F.col(observed)
     e = F.when(~F.isnan(p) & ~F.isnan(o), p - o)
-    return df.agg(F.count(e).alias("n_valid"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.median(F.abs(e)).alias("median_ae"), F.avg(e).alias("bias"))
+    return df.groupBy(*keys).agg(F.count(e).alias("n_valid"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.median(F.abs(e)).alias("median_ae"), F.avg(e).alias("bias"))
 
 
 def ensemble_stats(df: DataFrame, key: Sequence[str], score: str = "score") -> DataFrame:

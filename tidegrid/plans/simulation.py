@@ -50,8 +50,8 @@ def _errors(spark: SparkSession, folder: str, observed) -> DataFrame:
     seen = readings(spark, folder).select("subject_id", "us", F.col("glucose").alias("observed_now"))
     d = twin.twin_features(twin_states(spark, folder)).select("subject_id", "us", "twin_glucose_t30", "twin_glucose_t60")
     d = seen.join(d, ["subject_id", "us"], "left").select("*", observed(30).alias("o30"), observed(60).alias("o60"))
-    parts = [metrics.forecast_error(d, f"twin_glucose_t{m}", f"o{m}").select(F.lit(m).cast("bigint").alias("horizon"), "*") for m in (30, 60)]
-    return rounded(parts[0].unionByName(parts[1]))
+    both = F.array(*(F.struct(F.lit(m).cast("bigint").alias("horizon"), F.col(f"twin_glucose_t{m}").alias("predicted"), F.col(f"o{m}").alias("observed")) for m in (30, 60)))
+    return rounded(metrics.forecast_error(d.select(F.inline(both)), "predicted", "observed", ["horizon"]))
 
 
 def hybrid_frame(spark: SparkSession, folder: str) -> DataFrame:
