@@ -106,6 +106,8 @@ def test_splits(spark):
     ids = [f"s{i}" for i in range(100)]
     parts = splits.subject_permutation(ids)
     assert len(parts) == 100 and parts == splits.subject_permutation(ids[::-1]) and sorted(parts.values()).count("train") == 60
+    assert sorted(splits.subject_permutation(ids[:33], 0.7, 0.15, separate=True).values()).count("validation") == 4
+    assert len(set(splits.subject_draw(ids, 50))) == 50 and splits.subject_draw(ids[:3], 50) and splits.subject_permutation([]) == {}
     frame = spark.createDataFrame([(i,) for i in ids], "subject_id string")
     assert splits.subject_hash(frame).collect() == splits.subject_hash(frame).collect()
     assert {r.split for r in splits.routed(frame, frame.limit(3).withColumn("split", F.lit("train"))).collect()} == {"train", "test"}

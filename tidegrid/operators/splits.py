@@ -55,12 +55,18 @@ def subject_hash(df: DataFrame, key: str = "subject_id", train: float = 0.6, val
     return df.withColumn("split", F.when(share < train, "train").when(share < train + validation, "validation").otherwise("test"))
 
 
-def subject_permutation(ids: list[str], train: float = 0.6, validation: float = 0.2, seed: int = 42) -> dict[str, str]:
-    """Split of each of a short list of ids: the sorted ids in the order of numpy's seeded permutation."""
-    ordered = sorted(ids)
-    order = np.random.RandomState(seed).permutation(len(ordered))
-    ends = int(len(ordered) * train), int(len(ordered) * (train + validation))
-    return {ordered[k]: "train" if place < ends[0] else "validation" if place < ends[1] else "test" for place, k in enumerate(order)}
+def subject_permutation(ids: list[str], train: float = 0.6, validation: float = 0.2, seed: int = 42, separate: bool = False) -> dict[str, str]:
+    """Split of each of a list of ids short enough for the driver: the sorted ids, permuted by numpy's seeded generator, cut at the
+    shares. If separate, the validation part has int(n * validation) ids instead of reaching to int(n * (train + validation))."""
+    drawn = np.random.default_rng(seed).permutation(sorted(ids)).tolist()
+    first = int(len(drawn) * train)
+    ends = first, first + int(len(drawn) * validation) if separate else int(len(drawn) * (train + validation))
+    return {s: "train" if place < ends[0] else "validation" if place < ends[1] else "test" for place, s in enumerate(drawn)}
+
+
+def subject_draw(ids: list[str], n: int, seed: int = 42) -> list[str]:
+    """At most n of a list of ids short enough for the driver, drawn without replacement by numpy's seeded generator from the sorted ids."""
+    return np.random.default_rng(seed).choice(sorted(ids), size=min(n, len(ids)), replace=False).tolist()
 
 
 def routed(df: DataFrame, split_of: DataFrame, key: str = "subject_id", default: str = "test") -> DataFrame:
