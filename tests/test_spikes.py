@@ -40,6 +40,17 @@ def planted():
     return rows, bad
 
 
+def test_scores_do_not_depend_on_the_company():
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (500, 4))
+    x[:, 3] = 0  # says nothing
+    group = np.repeat([0, 1, 2], [200, 5, 295])
+    train, seeds = rng.random(500) < 0.8, np.array([11, 12, 13])
+    whole = forest_scores(x, group, train, seeds=seeds)
+    alone = forest_scores(x[205:], np.zeros(295, int), train[205:], seeds=seeds[2:])
+    assert (whole[205:] == alone).all() and len(set(whole)) > 100
+
+
 def test_finds_planted(spark):
     rows, bad = planted()
     found = {(r.record_id, r.signal) for r in spikes.implausible(canonical(spark, rows)).collect()}

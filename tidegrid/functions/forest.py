@@ -11,20 +11,37 @@ def average_path(n):
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def forest_scores(x: np.ndarray, group: np.ndarray, train: np.ndarray, trees: int = 24, sample: int = 64, seed: int = 7) -> np.ndarray:
+def scattered(x: np.ndarray) -> np.ndarray:
+    """Evenly scattered 64-bit numbers for whole numbers (a published finaliser of a 64-bit generator)."""
+    with np.errstate(over="ignore"):
+        z = np.asarray(x).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def uniform(seed: np.ndarray, number: np.ndarray | int) -> np.ndarray:
+    """Numbers in [0, 1) that depend on seed and number only."""
+    with np.errstate(over="ignore"):
+        return (scattered(scattered(seed) + np.asarray(number).astype(np.uint64)) >> np.uint64(11)).astype(float) / 2.0**53
+
+
+def forest_scores(x: np.ndarray, group: np.ndarray, train: np.ndarray, trees: int = 24, sample: int = 64, seeds: np.ndarray | None = None) -> np.ndarray:
     """Isolation score (0 to 1, high is odd) of every row of x by the forest of its own group.
 
     x: (rows, features) without NaN; group: ascending group numbers from 0; train: rows from which each tree draws its
-    sub-sample of at most `sample` points (the algorithm's own sub-sampling). A group with
-    fewer than two training rows scores 0.5 throughout.
+    sub-sample of at most `sample` points (the algorithm's own sub-sampling); seeds: one whole number per group. A group's
+    scores depend on its rows and seed only, not on what else is in the call. A group with fewer than two training
+    rows scores 0.5 throughout.
     """
     rows, features = x.shape
     if not rows:
         return np.zeros(0)
-    rng = np.random.default_rng(seed)
     groups = int(group[-1]) + 1
+    seeds = np.arange(groups) if seeds is None else np.asarray(seeds)
+    place = np.arange(rows) - np.searchsorted(group, group)
     pool = np.flatnonzero(train)
-    pool = pool[np.lexsort((rng.random(len(pool)), group[pool]))]
+    pool = pool[np.lexsort((uniform(seeds[group[pool]], place[pool]), group[pool]))]
     n = np.bincount(group[pool], minlength=groups)
     start = np.cumsum(n) - n
     depth = int(np.ceil(np.log2(sample)))
@@ -33,6 +50,7 @@ def forest_scores(x: np.ndarray, group: np.ndarray, train: np.ndarray, trees: in
     # one row for each (group, tree)
     of = np.repeat(np.arange(groups), trees)
     tree = np.tile(np.arange(trees), groups)
+    tree_seed = scattered(seeds[of]) ^ scattered(tree + 1)
     j = np.arange(sample)
     have = j < size[of][:, None]
     pick = start[of][:, None] + (tree[:, None] * size[of][:, None] + j) % np.maximum(n[of], 1)[:, None]
@@ -48,18 +66,18 @@ def forest_scores(x: np.ndarray, group: np.ndarray, train: np.ndarray, trees: in
         own, node, pt = owner[live], at[live], point[live]
         flat = own * width + (node - first)
         count = np.bincount(flat, minlength=len(of) * width)
-        ends = count > 0
-        length[:, first : first + width] = np.where(ends, level + average_path(count), 0).reshape(len(of), width)
+        length[:, first : first + width] = np.where(count > 0, level + average_path(count), 0).reshape(len(of), width)
         if level == depth:
             break
-        which = rng.integers(0, features, len(of) * width)
+        at_node = np.repeat(tree_seed, width), np.tile(np.arange(first, first + width), len(of))
+        which = (uniform(at_node[0], 2 * at_node[1]) * features).astype(np.int64)
         value = x[pt, which[flat]]
         low, high = np.full(len(of) * width, np.inf), np.full(len(of) * width, -np.inf)
         np.minimum.at(low, flat, value)
         np.maximum.at(high, flat, value)
         can = (count > 1) & (high > low)
         # a constant feature says nothing at this node: try the others in turn
-        for turn in range(1, features):
+        for _ in range(1, features):
             stuck = (count > 1) & ~can
             if not stuck.any():
                 break
@@ -71,7 +89,7 @@ def forest_scores(x: np.ndarray, group: np.ndarray, train: np.ndarray, trees: in
             np.maximum.at(high, flat[again], value[again])
             can = (count > 1) & (high > low)
         with np.errstate(invalid="ignore"):
-            threshold = np.where(can, low + (high - low) * rng.random(len(can)), 0)
+            threshold = np.where(can, low + (high - low) * uniform(at_node[0], 2 * at_node[1] + 1), 0)
         split[:, first : first + width] = np.where(can, which, -1).reshape(len(of), width)
         cut[:, first : first + width] = threshold.reshape(len(of), width)
         goes = can[flat]
@@ -86,10 +104,8 @@ def forest_scores(x: np.ndarray, group: np.ndarray, train: np.ndarray, trees: in
         node = np.zeros(rows, np.int64)
         for _ in range(depth):
             f = split[base + node]
-            inner = f >= 0
             step = 2 * node + 1 + (x[every, np.maximum(f, 0)] >= cut[base + node])
-            node = np.where(inner, step, node)
-        reached = length[base + node]
-        total += reached
+            node = np.where(f >= 0, step, node)
+        total += length[base + node]
     norm = average_path(size)[group]
     return np.where(norm > 0, 2.0 ** (-total / trees / np.maximum(norm, 1e-9)), 0.5)

@@ -147,7 +147,8 @@ def judge(signal: str, group: np.ndarray, us: np.ndarray, value: np.ndarray, odd
     train = np.zeros(rows, bool)  # a frozen stretch counts once
     train[o[start]] = True
     train &= ~impossible
-    score = forest_scores(features, group, train)
+    begins = np.flatnonzero(new_group)
+    score = forest_scores(features, group, train, seeds=us[begins] + np.diff(np.r_[begins, rows]))
     unit = ~impossible & (np.abs((x - offset) * 1.0 - local) > LEAP * typical[group]) & (np.abs(x * factor + offset - local) < 0.4 * np.abs(local)) & (x * factor + offset > low) & (x < 0.2 * local) if signal == "glucose" else np.zeros(rows, bool)
     rule = np.zeros(rows, np.int8)
     strange = score >= odd
