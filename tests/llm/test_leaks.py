@@ -61,6 +61,8 @@ def test_empty(spark, world):
     d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
     q = spark.createDataFrame(items, "item_id bigint, item_text string")
     assert L.leaks(d.limit(0), q).count() == 0 and L.leaks(d, q.limit(0)).count() == 0
+    short = spark.createDataFrame([(1, "far too short a story"), (2, "far too long a story")], "doc_id bigint, text string")
+    assert [(r.doc_id, r.item_id, r.share) for r in L.leaks(short, q).collect()] == [(1, 50, 1.0)]
 
 
 @pytest.mark.parametrize("text", ["Plain words, here.", "Café naïve ﬁne x", "soft­hyphen zero​width", "garbÃ©d â\u0080\u0094 dash Â­ x", "Привет мир", "İstanbul ẞ"])

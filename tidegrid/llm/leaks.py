@@ -145,7 +145,7 @@ def passages(words: list[str], item: list[str], at_item: np.ndarray, at_doc: np.
         else:
             blocks.append([(d, i)])
             open_.append(blocks[-1])
-    out = []
+    out, least = [], min(LEAST_VALUE, len(item))
     for block in blocks:
         low, high = max(0, block[0][1] - 12), min(len(item), block[-1][1] + PIECE + 12)
         match = np.full(high - low, -1)
@@ -163,10 +163,10 @@ def passages(words: list[str], item: list[str], at_item: np.ndarray, at_doc: np.
             if value > best:
                 best, best_end = value, i + 1
             if value <= 0 or value < best - 3 * -DIFFERENT:
-                if best >= LEAST_VALUE:
+                if best >= least:
                     stack.append((begin, best_end, best))
                 value, best = 0, 0
-        if best >= LEAST_VALUE:
+        if best >= least:
             stack.append((begin, best_end, best))
         for a, b, _ in stack:
             found = np.flatnonzero(match[a:b] >= 0) + a
@@ -232,7 +232,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, block_items:
     docs (doc_id bigint, text string), items (item_id bigint, item_text string). Columns: doc_id, item_id, share
     (of the item's own words), n_words, char_start and char_end (offsets in the original text around all passages found).
     A shared opening of several items counts neither as found nor as to be found. NULL and empty texts
-    and items have no row; items shorter than a pattern are searched as a whole. Repeated documents
+    and items have no row; items shorter than a pattern must occur whole. Repeated documents
     each have their rows. Items are a stated query set: they are taken in blocks of block_items.
     """
     spark = docs.sparkSession
