@@ -176,7 +176,35 @@ kept AS (SELECT * FROM parts WHERE split IS NOT NULL)"""
 
 _R6 = lambda e, name: f"round({e}, 6) AS {name}"
 
+def _matrix() -> str:
+    r9 = lambda e, name: f"round({e}, 9) AS {name}"
+    f = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    raw = [r9(v, v) for v in schema.SIGNALS]
+    sugar = ["0 AS glucose_missing", r9("glucose", "glucose_current"), "0 AS glucose_interpolated", "0.0::DOUBLE AS minutes_since_last_glucose"]
+    sugar += [r9(f"glucose - {lag_sql(m, 'glucose')}", f"glucose_delta_{m}m") for m in (5, 15)] + [r9(f"(glucose - {lag_sql(m, 'glucose')}) / {m}", f"glucose_roc_{m}m") for m in (5, 15, 30)]
+    sugar += [r9(f"{f[k]}(glucose) OVER w{m}", f"glucose_rolling_{k}_{m}m") for m in (30, 60) for k in STATS.split()]
+    bolus, carbs = ("sum(coalesce({0}, 0)) OVER w{1}".format(c, "{m}") for c in ("bolus_insulin", "carbohydrates"))
+    insulin = [r9(bolus.format(m=m), f"insulin_bolus_last_{m}m") for m in (15, 30, 60)] + [r9(since_sql("bolus_insulin > 0"), "minutes_since_bolus")]
+    insulin += [r9(bolus.format(m=m), n) for m, n in ((30, "bolus_insulin_recent"), (30, "total_insulin_last_30m"), (60, "total_insulin_last_60m"))] + [r9("last_value(basal_insulin IGNORE NULLS) OVER upto", n) for n in ("basal_current", "basal_insulin_current")]
+    meals = [r9(carbs.format(m=m), n) for m, n in ((30, "carbs_last_30m"), (60, "carbs_last_60m"), (30, "carbs_recent"))] + [r9(since_sql("carbohydrates > 0"), n) for n in ("minutes_since_meal", "minutes_since_last_meal")]
+    worn = [r9("hr", "hr_current"), r9("avg(hr) OVER w30", "hr_rolling_mean_30m"), r9("stddev_samp(hr) OVER w30", "hr_rolling_std_30m"), r9("e", "eda_current"), r9("avg(e) OVER w30", "eda_rolling_mean_30m"), r9("t", "temp_current"), r9("avg(t) OVER w30", "temp_rolling_mean_30m"), r9("a", "acc_magnitude"), r9("avg(a) OVER w15", "acc_rolling_mean_15m"), r9("stddev_samp(a) OVER w15", "acc_rolling_std_15m")]
+    clock = ["CAST((us // 3600000000) % 24 AS INTEGER) AS hour_of_day", "CAST((us // 60000000) % 1440 AS INTEGER) AS minute_of_day", "CAST(isodow(make_timestamp(us)) - 1 AS INTEGER) AS day_of_week", f"{NIGHT_SQL} AS is_night_clock_based"]
+    own = [r9(f"{k}(glucose) OVER w1440", n) for k, n in (("avg", "personal_glucose_baseline_24h"), ("stddev_samp", "personal_glucose_std_24h"), ("avg", "patient_glucose_baseline"))]
+    own += [r9("glucose - avg(glucose) OVER w1440", "glucose_deviation_from_baseline"), r9("coalesce(stddev_samp(glucose) OVER w1440, 0)", "patient_glucose_std"), r9("avg(heart_rate) OVER w1440", "personal_hr_baseline_24h")]
+    least = [f"min(nx) OVER (PARTITION BY subject_id ORDER BY us RANGE BETWEEN CURRENT ROW AND {m * 60_000_000 - 1} FOLLOWING) AS m{m}" for m in (30, 60)]
+    labels = [f"CAST({e} AS DOUBLE) AS {n}" for m in (30, 60) for e, n in ((f"m{m} < 70", f"future_hypoglycemia_{m}m"), (f"m{m} < 54", f"future_severe_hypoglycemia_{m}m"), (f"CASE WHEN m{m} IS NOT NULL THEN m{m} < 70 AND is_night_clock_based = 1 END", f"future_nocturnal_hypoglycemia_{m}m"))]
+    carried = ", ".join(f"last_value({e} IGNORE NULLS) OVER upto AS {n}" for e, n in (("heart_rate", "hr"), ("eda", "e"), ("skin_temperature", "t"), ("sqrt(accelerometer_x * accelerometer_x + accelerometer_y * accelerometer_y + accelerometer_z * accelerometer_z)", "a")))
+    positive = ", ".join(f"CASE WHEN {v} >= 0 THEN {v} END AS {v}" for v in ("basal_insulin", "bolus_insulin", "carbohydrates"))
+    return f"""WITH {READINGS_SQL},
+good AS (SELECT * REPLACE ({positive}) FROM readings WHERE glucose BETWEEN 20 AND 600),
+held AS (SELECT *, {carried}, lead(glucose) OVER w AS nx FROM good WINDOW {WINDOWS}),
+wide AS (SELECT subject_id, us, {', '.join(raw + sugar + insulin + meals + worn + clock + own + least)} FROM held WINDOW {WINDOWS}),
+labelled AS (SELECT * EXCLUDE (m30, m60), {', '.join(labels)} FROM wide)
+SELECT * FROM labelled QUALIFY count(*) OVER (PARTITION BY subject_id) >= 50 AND count(future_hypoglycemia_30m) OVER (PARTITION BY subject_id) >= 30 AND count(future_hypoglycemia_60m) OVER (PARTITION BY subject_id) >= 30"""
+
+
 SQL = {
+    "feature_matrix": _matrix(),
     "sync_readings": f"WITH {READINGS_SQL} SELECT subject_id, us, {', '.join(_R6(v, v) for v in schema.SIGNALS)} FROM readings",
     "quality_dedup": f"""WITH {RECORDS_SQL},
 first_rows AS (SELECT subject_id, us, seq, glucose FROM records WHERE stream = 'cgm' QUALIFY row_number() OVER (PARTITION BY subject_id, us ORDER BY seq) = 1)
