@@ -65,7 +65,11 @@ def running(d: DataFrame, keys: Sequence[str], descending: bool = False) -> Data
 
 def roc_auc(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """roc_auc by rank sums with ties averaged; NULL with a single class. Rows with a NULL key are left out."""
-    d = running(by_score(df, keys), keys).withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2.0)
+    return roc_of(by_score(df, keys), keys)
+
+
+def roc_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    d = running(counts, keys).withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2.0)
     d = d.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").cast("double").alias("pos"), F.sum(F.col("n") - F.col("p")).cast("double").alias("neg"))
     auc = F.when((F.col("pos") > 0) & (F.col("neg") > 0), (F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg")))
     return d.select(*keys, auc.alias("roc_auc"))
@@ -73,7 +77,11 @@ def roc_auc(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def average_precision(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """pr_auc: precision at every distinct score, weighted by the recall gained there; NULL with a single class."""
-    d = running(by_score(df, keys), keys, descending=True)
+    return precision_of(by_score(df, keys), keys)
+
+
+def precision_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    d = running(counts, keys, descending=True)
     d = d.withColumn("precision", (F.col("p_before") + F.col("p")) / (F.col("n_before") + F.col("n")))
     d = d.groupBy(*keys).agg(F.sum(F.col("p") * F.col("precision")).alias("s"), F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
     return d.select(*keys, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("s") / F.col("pos")).alias("pr_auc"))
@@ -114,8 +122,16 @@ def reliability(df: DataFrame, n_bins: int = 10) -> DataFrame:
 def subject_metrics(df: DataFrame, threshold: float = 0.5, key: str = "subject_id") -> DataFrame:
     """Per subject: windows, positives and negatives, rank metrics (NULL with a single class), recall (NULL without positives), precision,
     F1 and Brier score."""
-    base = confusion(df, threshold, [key]).select(key, (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("windows"), (F.col("tp") + F.col("fn")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"), F.when(F.col("tp") + F.col("fn") > 0, F.col("recall")).alias("recall"), "precision", "f1")
-    return base.join(roc_auc(df, [key]), key).join(average_precision(df, [key]), key).join(brier(df, [key]), key)
+    counts = by_score(df, [key])  # what follows only sees distinct scores
+    hit, pos, neg = F.col("score") >= threshold, F.col("p"), F.col("n") - F.col("p")
+    d = counts.groupBy(key).agg(
+        F.sum("n").alias("windows"), F.sum(pos).alias("positives"), F.sum(neg).alias("negatives"),
+        F.sum(F.when(hit, pos).otherwise(0)).alias("tp"), F.sum(F.when(hit, neg).otherwise(0)).alias("fp"),
+        (F.sum(F.col("n") * F.col("score") * F.col("score") - 2 * F.col("score") * pos + pos) / F.sum("n")).alias("brier"),
+    )
+    tp, fp = F.col("tp"), F.col("fp")
+    base = d.select(key, "windows", "positives", "negatives", F.when(F.col("positives") > 0, tp / F.col("positives")).alias("recall"), ratio(tp, tp + fp).alias("precision"), ratio(2 * tp, tp + fp + F.col("positives")).alias("f1"), "brier")
+    return base.join(roc_of(counts, [key]), key).join(precision_of(counts, [key]), key)
 
 
 #: Edges of the glucose and rate bins and their names, and the order of the outcomes.
