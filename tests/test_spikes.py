@@ -115,3 +115,19 @@ def test_forest_prefers_the_outlier():
     assert score[:300].argmax() == 10 and score[300:].argmax() == 100
     assert forest_scores(x, group, np.zeros(600, bool)).tolist() == [0.5] * 600
     assert average_path(2) == 1 and average_path(1) == 0 and 10 < average_path(256) < 11
+
+
+def test_a_chunk_is_judged_by_its_whole_source(spark):
+    rng, n = np.random.default_rng(7), 12_000
+    y = np.round(130 + 40 * np.sin(np.arange(n) / 300) + rng.normal(0, 2, n), 1)
+    y[7000:] = np.round(y[7000:] + rng.normal(0, 12, n - 7000), 1)  # restless: the source's steps aren't the chunk's
+    y[500:4500] = np.round(y[500:4500] / 18.016, 1)  # another unit in more than half of a chunk
+    y[[100, 5600, 8000, 11000]] += 150
+    y[5800:5830] = 131.3
+    rows = [(i, "hot", 5.0 * i, float(v), None, None, round(70 + float(h), 1), None) for i, (v, h) in enumerate(zip(y, rng.normal(0, 2, n)))]
+    rows += [(n + i, "hot", 5.0 * i, float(y[i])) for i in range(0, n, 97)] + [(2 * n + i, "cold", 5.0 * i, 100.0 + i % 9) for i in range(50)]
+    df = canonical(spark, rows)
+    result = lambda target: sorted((r.record_id, r.signal, round(r.score, 9), r.rule or "") for r in spikes.score_readings(df, target_rows=target).collect())
+    whole, split = result(50_000), result(3000)
+    assert whole == split
+    assert {i for i, s, _, rule in split if s == "glucose" and rule} >= {*range(500, 4500), 100, 5600, *range(5800, 5830)}

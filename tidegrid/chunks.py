@@ -55,9 +55,20 @@ def chunked(df: DataFrame, key: str, order: str, target_rows: int) -> DataFrame:
     hot = hot_keys(df, key, order, target_rows)
     if hot is None:
         return df.select("*", F.lit(0).alias("chunk"), F.lit(True).alias("core"))
+    return spread_out(df, hot, key, order)
+
+
+def chunk_numbers(hot: DataFrame, key: str) -> DataFrame:
+    """(key, chunk) of every chunk of the hot keys."""
+    last = F.floor((F.lit(CELLS) * F.col("parts") - 1) / F.col("per_chunk")).cast("int")
+    return hot.select(key, F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+
+
+def spread_out(df: DataFrame, hot: DataFrame, key: str, order: str, how: str = "left") -> DataFrame:
+    """As chunked, given the hot keys; with how = inner the rows of hot keys only."""
     cell, place = cell_of(order)
     is_hot = F.col("borders").isNotNull()
-    rows = df.join(hot, key, "left").withColumn("_cell", F.when(is_hot, cell)).withColumn("_place", F.when(is_hot, place)).drop("borders", "_cell")
+    rows = df.join(hot, key, how).withColumn("_cell", F.when(is_hot, cell)).withColumn("_place", F.when(is_hot, place)).drop("borders", "_cell")
     size = F.col("per_chunk")
     home = F.floor(F.col("_place") / size).cast("int")
     last = F.lit(CELLS) * F.col("parts") - 1

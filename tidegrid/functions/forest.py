@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Trees of a forest and points of each tree's sub-sample.
+TREES, SAMPLE = 24, 64
+
+
 def average_path(n):
     """Mean path length of an unsuccessful search in a binary tree of n points."""
     n = np.maximum(np.asarray(n, float), 1.0)
@@ -26,11 +30,12 @@ def uniform(seed: np.ndarray, number: np.ndarray | int) -> np.ndarray:
         return (scattered(scattered(seed) + np.asarray(number).astype(np.uint64)) >> np.uint64(11)).astype(float) / 2.0**53
 
 
-def forest_scores(x: np.ndarray, group: np.ndarray, train: np.ndarray, trees: int = 24, sample: int = 64, seeds: np.ndarray | None = None) -> np.ndarray:
+def forest_scores(x: np.ndarray, group: np.ndarray, train: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seeds: np.ndarray | None = None, number: np.ndarray | None = None) -> np.ndarray:
     """Isolation score (0 to 1, high is odd) of every row of x by the forest of its own group.
 
     x: (rows, features) without NaN; group: ascending group numbers from 0; train: rows from which each tree draws its
-    sub-sample of at most `sample` points (the algorithm's own sub-sampling); seeds: one whole number per group. A group's
+    sub-sample of at most `sample` points (the algorithm's own sub-sampling); seeds: one whole number per group; number: a whole number
+    per row on which its draw depends, its place in the group by default (only the trees * sample training rows of the least draws count). A group's
     scores depend on its rows and seed only, not on what else is in the call. A group with fewer than two training
     rows scores 0.5 throughout.
     """
@@ -39,7 +44,7 @@ def forest_scores(x: np.ndarray, group: np.ndarray, train: np.ndarray, trees: in
         return np.zeros(0)
     groups = int(group[-1]) + 1
     seeds = np.arange(groups) if seeds is None else np.asarray(seeds)
-    place = np.arange(rows) - np.searchsorted(group, group)
+    place = np.arange(rows) - np.searchsorted(group, group) if number is None else number
     pool = np.flatnonzero(train)
     pool = pool[np.lexsort((uniform(seeds[group[pool]], place[pool]), group[pool]))]
     n = np.bincount(group[pool], minlength=groups)
