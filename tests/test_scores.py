@@ -1,8 +1,11 @@
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.operators import metrics, models
+from tidegrid.plans import simulation
 from tidegrid.sources import generated
 
 
@@ -91,3 +94,36 @@ def test_models(spark):
     band = models.bootstrap(rows.where("split = 'train'"), rows.where("split = 'test'").limit(50), names, members=2, trees=3, depth=2)
     assert band.where("lower_5pct <= mean_prob and mean_prob <= upper_95pct and std >= 0").count() == band.count() == 50
     rows.unpersist()
+
+
+def test_model_queries_are_the_whole_job(spark, monkeypatch):
+    asked, whole = [], models.boosted
+    frame = generated.modelling_frame(spark, 300).withColumn("split", F.when(F.rand(1) < 0.6, "train").when(F.rand(2) < 0.5, "validation").otherwise("test")).persist()
+
+    def small(*args, **training):
+        call = inspect.signature(whole).bind(*args, **training)
+        call.apply_defaults()
+        asked.append((call.arguments["trees"], call.arguments["depth"], call.arguments["stop"] is not None))
+        return whole(*args, **training | {"trees": 1, "depth": 1})
+
+    monkeypatch.setattr(models, "boosted", small)
+    monkeypatch.setattr(simulation, "hybrid_frame", lambda s, d: frame)
+    for name, calls in {"model_abc": 3, "feature_importance": 1, "calibrate_isotonic": 1, "calibrate_platt": 1, "bootstrap_uncertainty": 10}.items():
+        asked.clear()
+        monkeypatch.setattr(models, "CONFIGURATIONS", dict.fromkeys(("baseline", "twin_only", "hybrid"), ("glucose_current", "glucose_roc_5m")))
+        simulation.QUERIES[name](spark, "")
+        assert asked == [(100, 5, name != "bootstrap_uncertainty")] * calls, name
+    frame.unpersist()
+
+
+def test_training_is_stopped_by_validation_rows(spark):
+    assert models.best_size([3.0, 2.0, 2.5, 1.0]) == 4 and models.best_size([2.0] + [3.0] * 21 + [1.0]) == 1 and models.best_size([2.0] + [3.0] * 19 + [1.0]) == 21
+    names = ["glucose_current", "glucose_roc_5m"]
+    rows = models.prepared(generated.modelling_frame(spark, 300), names, "future_hypoglycemia_30m").persist()
+    wrong = rows.withColumn("label", 1 - F.col("label"))
+    stopped, short = models.boosted(rows, names, trees=4, depth=2, stop=wrong), models.boosted(rows, names, trees=1, depth=2)
+    assert stopped.stages[-1].getNumTrees == 1
+    result = lambda m: sorted(r.score for r in models.scored(m, rows).select("score").collect())
+    assert result(stopped) == result(short) and len(models.importances(stopped, names)) == 2
+    assert models.boosted(rows, names, trees=4, depth=2, stop=rows.limit(0)).stages[-1].getNumTrees == 4
+    rows.unpersist()

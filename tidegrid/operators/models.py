@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark import SparkContext
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -28,6 +29,10 @@ TWIN = (
 CONFIGURATIONS = {"baseline": BASELINE, "twin_only": TWIN, "hybrid": BASELINE + TWIN}
 
 
+#: Trees without a lower validation loss after which training counts as finished.
+PATIENCE = 20
+
+
 def features_of(df: DataFrame, configuration: str) -> list[str]:
     return [c for c in CONFIGURATIONS[configuration] if c in df.columns]
 
@@ -41,12 +46,40 @@ def prepared(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return df.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
 
 
-def boosted(train: DataFrame, features: Sequence[str], trees: int = 100, depth: int = 5, rate: float = 0.05, seed: int = 42, validation: str | None = None):
-    """Gradient-boosted trees; stops early on rows where `validation` is true, if that column is named."""
+def boosted(train: DataFrame, features: Sequence[str], trees: int = 100, depth: int = 5, rate: float = 0.05, seed: int = 42, validation: str | None = None, stop: DataFrame | None = None):
+    """Gradient-boosted trees. With rows to stop by, the model has the trees up to their least loss before PATIENCE trees without a lower one;
+    with `validation`, training itself stops, at the first tree that gains too little on rows where that column is true."""
     stages = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
     if validation:
         stages = stages.setValidationIndicatorCol(validation)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), stages]).fit(train)
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), stages]).fit(train)
+    if stop is None or stop.isEmpty():
+        return model
+    assembler, grown = model.stages
+    return PipelineModel([assembler, first_trees(grown, best_size(grown.evaluateEachIteration(assembler.transform(stop))))])
+
+
+def best_size(losses: Sequence[float], patience: int = PATIENCE) -> int:
+    """Number of trees of the least loss, as far as training with that patience would have come."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if k - best > patience:
+            break
+        if loss < losses[best]:
+            best = k
+    return best + 1
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first n trees. Columns have their default names."""
+    if n >= model.getNumTrees:
+        return model
+    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
+    jvm, grown = gateway.jvm, java.trees()
+    trees, weights = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n), gateway.new_array(jvm.double, n)
+    for k in range(n):
+        trees[k], weights[k] = grown[k], float(model.treeWeights[k])
+    return GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights, model.numFeatures))
 
 
 def scored(model, df: DataFrame) -> DataFrame:
@@ -63,14 +96,15 @@ def evaluate(df: DataFrame, threshold: float) -> DataFrame:
 
 
 def compared(df: DataFrame, label: str, configurations: Sequence[str] = tuple(CONFIGURATIONS), **training) -> DataFrame:
-    """Metrics on the test rows of each configuration, trained on train rows; the threshold is that of the best F1 on the validation
+    """Metrics on the test rows of each configuration, trained on train rows and stopped by validation rows; the threshold is that of the best F1 on the validation
     rows. df has a split column."""
     result = None
     for name in configurations:
         features = features_of(df, name)
         rows = prepared(df, features, label)
-        model = boosted(rows.where(F.col("split") == "train"), features, **training)
-        threshold = metrics.best_f1_threshold(scored(model, rows.where(F.col("split") == "validation"))).first()["best_threshold"]
+        validation = rows.where(F.col("split") == "validation")
+        model = boosted(rows.where(F.col("split") == "train"), features, stop=validation, **training)
+        threshold = metrics.best_f1_threshold(scored(model, validation)).first()["best_threshold"]
         row = evaluate(scored(model, rows.where(F.col("split") == "test")), threshold).select(F.lit(name).alias("configuration"), F.lit(len(features)).alias("n_features"), F.lit(threshold).alias("threshold"), "*")
         result = row if result is None else result.unionByName(row)
     return result

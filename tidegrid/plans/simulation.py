@@ -71,14 +71,18 @@ def hybrid_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_abc(spark: SparkSession, folder: str) -> DataFrame:
-    return models.compared(hybrid_frame(spark, folder).persist(), "future_hypoglycemia_30m", trees=15, depth=4)
+    return models.compared(hybrid_frame(spark, folder).persist(), "future_hypoglycemia_30m")
 
 
-def _model(spark: SparkSession, folder: str) -> tuple[object, list[str], DataFrame]:
+def _rows(spark: SparkSession, folder: str) -> tuple[list[str], DataFrame]:
     df = hybrid_frame(spark, folder)
     names = models.features_of(df, "hybrid")
-    rows = models.prepared(df, names, "future_hypoglycemia_30m").persist()
-    return models.boosted(rows.where("split = 'train'"), names, trees=10, depth=4), names, rows
+    return names, models.prepared(df, names, "future_hypoglycemia_30m").persist()
+
+
+def _model(spark: SparkSession, folder: str) -> tuple[object, list[str], DataFrame]:
+    names, rows = _rows(spark, folder)
+    return models.boosted(rows.where("split = 'train'"), names, stop=rows.where("split = 'validation'")), names, rows
 
 
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,8 +101,8 @@ def _calibrate(method):
 
 
 def bootstrap_uncertainty(spark: SparkSession, folder: str) -> DataFrame:
-    _, names, rows = _model(spark, folder)
-    return models.bootstrap(rows.where("split = 'train'"), rows.where("split = 'test'"), names, members=3, trees=5, depth=3)
+    names, rows = _rows(spark, folder)
+    return models.bootstrap(rows.where("split = 'train'"), rows.where("split = 'test'"), names)
 
 
 QUERIES = {
