@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-
-#: Trees of a forest and points of each tree's sub-sample.
-TREES, SAMPLE = 24, 64
+#: Trees of a forest, points of each tree's sub-sample, and depth at which a tree ends.
+TREES, SAMPLE, DEPTH = 64, 64, 8
+#: Of a short source at most this part goes into one sub-sample, so that most trees haven't seen an odd reading they judge.
+PART = 4
+#: Groups whose trees are grown together, and rows that walk down them together: they bound what is held at once.
+GROUPS, ROWS = 64, 16384
 
 
 def average_path(n):
@@ -30,16 +33,57 @@ def uniform(seed: np.ndarray, number: np.ndarray | int) -> np.ndarray:
         return (scattered(scattered(seed) + np.asarray(number).astype(np.uint64)) >> np.uint64(11)).astype(float) / 2.0**53
 
 
-def forest_scores(x: np.ndarray, group: np.ndarray, train: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seeds: np.ndarray | None = None, number: np.ndarray | None = None) -> np.ndarray:
+def grown(points: np.ndarray, owner: np.ndarray, seeds: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """Trees over points (each of the tree owner, one seed a tree) in the unit box.
+
+    Returns of every node its feature, cut, left child (the right one follows; a leaf is its own left child and has an infinite cut)
+    and path length. Roots come first. Cuts fall anywhere in a node's part of the box, so that where a source has no readings there are
+    leaves without points, which end the path of what comes to lie there.
+    """
+    trees, features = len(seeds), points.shape[1]
+    ids, of, path = np.arange(trees), np.arange(trees), np.zeros(trees, np.int64)
+    low, high = np.zeros((trees, features)), np.ones((trees, features))
+    at = owner
+    parts = []
+    made = trees
+    for level in range(depth + 1):
+        count = np.bincount(at, minlength=len(ids))
+        length = level + average_path(count)
+        grows = np.flatnonzero(count > 1) if level < depth else np.zeros(0, np.int64)
+        feature, cut, left = np.zeros(len(ids), np.int64), np.full(len(ids), np.inf), ids.copy()
+        which = (uniform(seeds[of[grows]], 2 * path[grows]) * features).astype(np.int64)
+        a, b = low[grows, which], high[grows, which]
+        feature[grows], cut[grows] = which, a + (b - a) * uniform(seeds[of[grows]], 2 * path[grows] + 1)
+        left[grows] = made + 2 * np.arange(len(grows))
+        parts.append((feature, cut, left, length))
+        if not len(grows):
+            break
+        place = np.full(len(ids), -1)
+        place[grows] = 2 * np.arange(len(grows))
+        stays = place[at] >= 0
+        at, points = at[stays], points[stays]
+        at = place[at] + (points[np.arange(len(at)), feature[at]] >= cut[at])
+        low, high = np.repeat(low[grows], 2, axis=0), np.repeat(high[grows], 2, axis=0)
+        k = 2 * np.arange(len(grows))
+        high[k, which], low[k + 1, which] = cut[grows], cut[grows]
+        path = np.repeat(2 * path[grows] + 1, 2)
+        path[1::2] += 1
+        of = np.repeat(of[grows], 2)
+        ids = made + np.arange(2 * len(grows))
+        made += len(ids)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def forest_scores(x: np.ndarray, group: np.ndarray, train: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seeds: np.ndarray | None = None, number: np.ndarray | None = None, depth: int = DEPTH) -> np.ndarray:
     """Isolation score (0 to 1, high is odd) of every row of x by the forest of its own group.
 
-    x: (rows, features) without NaN; group: ascending group numbers from 0; train: rows from which each tree draws its
-    sub-sample of at most `sample` points (the algorithm's own sub-sampling); seeds: one whole number per group; number: a whole number
+    x: (rows, features), each from 0 to 1; group: ascending group numbers from 0; train: rows from which each tree draws its
+    sub-sample of at most `sample` points (the algorithm's own sub-sampling) and of at most a quarter of them; seeds: one whole number per group; number: a whole number
     per row on which its draw depends, its place in the group by default (only the trees * sample training rows of the least draws count). A group's
     scores depend on its rows and seed only, not on what else is in the call. A group with fewer than two training
     rows scores 0.5 throughout.
     """
-    rows, features = x.shape
+    rows = len(x)
     if not rows:
         return np.zeros(0)
     groups = int(group[-1]) + 1
@@ -49,68 +93,27 @@ def forest_scores(x: np.ndarray, group: np.ndarray, train: np.ndarray, trees: in
     pool = pool[np.lexsort((uniform(seeds[group[pool]], place[pool]), group[pool]))]
     n = np.bincount(group[pool], minlength=groups)
     start = np.cumsum(n) - n
-    depth = int(np.ceil(np.log2(sample)))
-    nodes = 2 ** (depth + 1) - 1
-    size = np.minimum(n, sample)
-    # one row for each (group, tree)
-    of = np.repeat(np.arange(groups), trees)
-    tree = np.tile(np.arange(trees), groups)
-    tree_seed = scattered(seeds[of]) ^ scattered(tree + 1)
-    j = np.arange(sample)
-    have = j < size[of][:, None]
-    pick = start[of][:, None] + (tree[:, None] * size[of][:, None] + j) % np.maximum(n[of], 1)[:, None]
-    owner = np.broadcast_to(np.arange(len(of))[:, None], have.shape)[have]
-    point = pool[pick[have]]
-    at = np.zeros(len(point), np.int64)
-    split = np.full((len(of), nodes), -1, np.int8)
-    cut = np.zeros((len(of), nodes))
-    length = np.zeros((len(of), nodes))
-    live = np.ones(len(point), bool)
-    for level in range(depth + 1):
-        first, width = 2**level - 1, 2**level
-        own, node, pt = owner[live], at[live], point[live]
-        flat = own * width + (node - first)
-        count = np.bincount(flat, minlength=len(of) * width)
-        length[:, first : first + width] = np.where(count > 0, level + average_path(count), 0).reshape(len(of), width)
-        if level == depth:
-            break
-        at_node = np.repeat(tree_seed, width), np.tile(np.arange(first, first + width), len(of))
-        which = (uniform(at_node[0], 2 * at_node[1]) * features).astype(np.int64)
-        value = x[pt, which[flat]]
-        low, high = np.full(len(of) * width, np.inf), np.full(len(of) * width, -np.inf)
-        np.minimum.at(low, flat, value)
-        np.maximum.at(high, flat, value)
-        can = (count > 1) & (high > low)
-        # a constant feature says nothing at this node: try the others in turn
-        for _ in range(1, features):
-            stuck = (count > 1) & ~can
-            if not stuck.any():
-                break
-            again = stuck[flat]
-            which[stuck] = (which[stuck] + 1) % features
-            value[again] = x[pt[again], which[flat[again]]]
-            low[stuck], high[stuck] = np.inf, -np.inf
-            np.minimum.at(low, flat[again], value[again])
-            np.maximum.at(high, flat[again], value[again])
-            can = (count > 1) & (high > low)
-        with np.errstate(invalid="ignore"):
-            threshold = np.where(can, low + (high - low) * uniform(at_node[0], 2 * at_node[1] + 1), 0)
-        split[:, first : first + width] = np.where(can, which, -1).reshape(len(of), width)
-        cut[:, first : first + width] = threshold.reshape(len(of), width)
-        goes = can[flat]
-        where = np.flatnonzero(live)
-        at[where] = np.where(goes, 2 * node + 1 + (value >= threshold[flat]), node)
-        live[where[~goes]] = False
-    split, cut, length = split.ravel(), cut.ravel(), length.ravel()
-    total = np.zeros(rows)
-    every = np.arange(rows)
-    for t in range(trees):
-        base = (group * trees + t) * nodes
-        node = np.zeros(rows, np.int64)
-        for _ in range(depth):
-            f = split[base + node]
-            step = 2 * node + 1 + (x[every, np.maximum(f, 0)] >= cut[base + node])
-            node = np.where(f >= 0, step, node)
-        total += length[base + node]
-    norm = average_path(size)[group]
-    return np.where(norm > 0, 2.0 ** (-total / trees / np.maximum(norm, 1e-9)), 0.5)
+    size = np.minimum(np.minimum(n, sample), np.maximum(2, -(-n // PART)))
+    out = np.full(rows, 0.5)
+    border = np.searchsorted(group, np.arange(groups + 1))
+    for first in range(0, groups, GROUPS):
+        some = np.arange(first, min(first + GROUPS, groups))
+        of = np.repeat(some, trees)
+        tree = np.tile(np.arange(trees), len(some))
+        have = np.arange(sample) < size[of][:, None]
+        pick = start[of][:, None] + (tree[:, None] * size[of][:, None] + np.arange(sample)) % np.maximum(n[of], 1)[:, None]
+        owner = np.broadcast_to(np.arange(len(of))[:, None], have.shape)[have]
+        feature, cut, left, length = grown(x[pool[pick[have]]].astype(float), owner, scattered(seeds[of]) ^ scattered(tree + 1), depth)
+        for a in range(border[first], border[some[-1] + 1], ROWS):
+            b = min(a + ROWS, border[some[-1] + 1])
+            flat, at = x[a:b].ravel(), np.arange(b - a) * x.shape[1]
+            root = (group[a:b] - first) * trees
+            total = np.zeros(b - a)
+            for t in range(trees):
+                node = root + t
+                for _ in range(depth):
+                    node = left.take(node) + (flat.take(at + feature.take(node)) >= cut.take(node))
+                total += length.take(node)
+            norm = average_path(size[group[a:b]])
+            out[a:b] = np.where(norm > 0, 2.0 ** (-total / trees / np.maximum(norm, 1e-9)), 0.5)
+    return out

@@ -1,5 +1,8 @@
 """Implausible readings: an isolation forest per source, with physical limits.
 
+Level, difference, season and run length of every reading are scored by the forest of its source; the score
+decides what is a spike or frozen, and fixed limits what is impossible.
+
 Rows are shuffled once, by source, hot sources in time chunks of about equally many readings
 with overlapping margins. Python sees whole chunks of many sources at a time and works on all of them at once. What holds of a
 whole source (unit, level, spread, season, typical step, chance of frozen runs, and the forest's training rows) comes from all its rows: a hot
@@ -29,13 +32,16 @@ SIGNALS = {
     "heart_rate": {"limits": (25.0, 250.0), "step": 1.0, "other": (0.6, 3.5, 60.0, 0.0)},
     "skin_temperature": {"limits": (15.0, 45.0), "step": 0.05, "other": (60.0, 130.0, 1 / 1.8, -32 / 1.8)},
 }
-RULES = np.array(["", "impossible", "unit", "spike", "frozen"], dtype=object)
-#: Most readings of one spike; least leap in typical steps; time within which the neighbours must lie.
+RULES = np.array(["", "impossible", "spike", "frozen"], dtype=object)
+#: Most readings of one spike; scale of leaps in typical steps; time within which the neighbours must lie.
 SPIKE_LENGTH, LEAP, NEAR_US = 3, 5.5, 2 * 3600 * 1_000_000
-#: Least length of a frozen run, and expected number of such runs by chance in the source.
-FROZEN, CHANCE = 6, 1e-3
-#: Score from which a reading is odd enough for the check of spikes and frozen stretches.
-ODD = 0.42
+#: Least length of a frozen run, expected number of such runs by chance in the source, and scale of runs in lengths beyond chance.
+FROZEN, CHANCE, RUN = 6, 1e-3, 0.7
+#: Score of the forest from which a reading is implausible, if it leaps there and back by the least leap (in typical steps) or
+#: repeats its value over the least part of a run beyond chance: a reading that is only high or low at an odd hour may be true.
+ODD, LEAST_LEAP, LEAST_PART = 0.52, 4.0, 0.5
+#: Features of a reading: level, difference, season, run length.
+FEATURES = 4
 
 #: Training rows of a source's forest, those of the least draws; and what is counted of a hot source.
 KEPT = TREES * SAMPLE
@@ -86,6 +92,12 @@ def close_by(group: np.ndarray, us: np.ndarray) -> np.ndarray:
     return np.r_[False, (group[1:] == group[:-1]) & (us[1:] - us[:-1] <= NEAR_US / 2)] if len(group) else np.zeros(0, bool)
 
 
+def saturating(z: np.ndarray, scale: float, power: int) -> np.ndarray:
+    """From 0 to 1, a half at the scale; 1 where there is no number. Large powers part what lies below and above the scale."""
+    z = np.clip(np.nan_to_num(z, nan=np.inf, posinf=1e9), 0, 1e9) / scale
+    return z**power / (1 + z**power)
+
+
 def steps_of(x: np.ndarray) -> np.ndarray:
     return np.r_[0.0, np.abs(np.diff(x))] if len(x) else np.zeros(0)
 
@@ -160,7 +172,7 @@ def described(signal: str, group: np.ndarray, us: np.ndarray, value: np.ndarray,
     alike = value == value[o][origin]
     row_leap = np.where(alike, row_leap, np.where(impossible, 0, np.where(away > 2 * LEAP, away, 0)))
     row_run = np.where(alike, row_run, 1)
-    # features: level, difference, season (hour of day), run length, and that against chance
+    # features from 0 to 1: level, difference, season (hour of day), run length against chance
     hour = (us // 3_600_000_000) % 24
     cell = group * 24 + hour
     by_hour = np.full(groups * 24, np.nan)
@@ -170,25 +182,18 @@ def described(signal: str, group: np.ndarray, us: np.ndarray, value: np.ndarray,
     by_hour.reshape(groups, 24)[chunks] = stats[:, 7:]
     season = by_hour[cell]
     season = np.where(np.isnan(season), center[group], season)
-    far = 50.0
-    clean = lambda z: np.clip(np.nan_to_num(z, nan=far, posinf=far, neginf=far), 0, far)
-    features = np.stack(
-        [
-            np.log1p(clean(np.abs(x - center[group]) / spread[group])),
-            np.log1p(clean(np.maximum(row_leap, np.where(impossible, far, 0)))),
-            np.log1p(clean(np.abs(x - season) / spread[group])),
-            np.log2(np.minimum(row_run, 64)),
-            np.log1p(np.minimum(row_run / least[group], 8) ** 2),
-        ],
-        axis=1,
-    )
+    features = np.empty((rows, FEATURES), np.float32)
+    features[:, 0] = saturating(np.abs(x - center[group]) / spread[group], 1.0, 1)
+    features[:, 1] = saturating(np.where(impossible, np.inf, row_leap), LEAP, 3)
+    features[:, 2] = saturating(np.abs(x - season) / spread[group], 1.0, 1)
+    features[:, 3] = saturating((row_run - 1) / (least[group] - 1), RUN, 3)
     train = np.zeros(rows, bool)  # a frozen stretch counts once
     train[o[start]] = True
     train &= ~impossible
     begins = np.flatnonzero(new_group)
     seeds = us[begins] + np.diff(np.r_[begins, rows])
     seeds[chunks] = stats[:, 5].astype(np.int64)
-    return SimpleNamespace(features=features, train=train, seeds=seeds, x=x, impossible=impossible, local=local, typical=typical, leap=row_leap, run=row_run, least=least)
+    return SimpleNamespace(features=features, train=train, seeds=seeds, impossible=impossible, leap=row_leap, run=row_run, least=least)
 
 
 def judge(signal: str, group: np.ndarray, us: np.ndarray, value: np.ndarray, odd: float = ODD, given: dict[int, tuple] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +201,7 @@ def judge(signal: str, group: np.ndarray, us: np.ndarray, value: np.ndarray, odd
     features of its training rows, of groups that are chunks of one."""
     given = given or {}
     d = described(signal, group, us, value, {k: stats for k, (stats, _, _) in given.items()})
-    x, local, rows = d.x, d.local, len(value)
+    rows = len(value)
     # a chunk is scored by the forest of its source, whose training rows join it
     d.train &= ~np.isin(group, list(given))
     owner = np.concatenate([group, *(np.full(len(times), k) for k, (_, times, _) in given.items())])
@@ -206,14 +211,10 @@ def judge(signal: str, group: np.ndarray, us: np.ndarray, value: np.ndarray, odd
     score = np.zeros(len(owner))
     score[order] = forest_scores(features, owner[order], np.r_[d.train, np.ones(len(owner) - rows, bool)][order], seeds=d.seeds, number=number)
     score = score[:rows]
-    low, high = SIGNALS[signal]["limits"]
-    _, _, factor, offset = SIGNALS[signal]["other"]
-    unit = ~d.impossible & (np.abs((x - offset) * 1.0 - local) > LEAP * d.typical[group]) & (np.abs(x * factor + offset - local) < 0.4 * np.abs(local)) & (x * factor + offset > low) & (x < 0.2 * local) if signal == "glucose" else np.zeros(rows, bool)
     rule = np.zeros(rows, np.int8)
     strange = score >= odd
-    rule[strange & (d.run >= d.least[group])] = 4
-    rule[strange & (d.leap >= LEAP)] = 3
-    rule[unit] = 2
+    rule[strange & (d.run >= LEAST_PART * d.least[group])] = 3
+    rule[strange & (d.leap >= LEAST_LEAP)] = 2
     rule[d.impossible] = 1
     return score, rule
 
@@ -302,7 +303,7 @@ def heads(rows: pa.Table, run: np.ndarray) -> dict[str, dict[int, tuple]]:
     at = pa.compute.indices_nonzero(about.is_valid())
     few = rows.select(["about", "stats", "sample"]).take(at).to_pylist()
     for k, head in zip(np.asarray(at).tolist(), few):
-        sample = np.frombuffer(head["sample"] or b"", np.dtype([("us", np.int64), ("features", np.float64, 5)]))
+        sample = np.frombuffer(head["sample"] or b"", np.dtype([("us", np.int64), ("features", np.float32, FEATURES)]))
         out[head["about"]][int(run[k])] = np.frombuffer(head["stats"], float), sample["us"], sample["features"]
     return out
 
@@ -391,9 +392,9 @@ def score_readings(df: DataFrame, only_flagged: bool = False, target_rows: int =
     """Score and rule of every glucose, heart_rate and skin_temperature value, per source.
 
     Columns: record_id, subject_id, signal, value, score (isolation score, high is odd) and rule: 'impossible' (outside physical limits,
-    which also holds values given in another unit than the source's others), 'unit', 'spike' (leaps away for at most three readings and comes back),
-    'frozen' (very same value far longer than chance) or NULL. Spikes and frozen stretches
-    are odd readings of the forest that an exact check confirms. Rows without source or time
+    which also holds values given in another unit than the source's others), 'spike' (leaps away for at most three readings and comes back),
+    'frozen' (very same value far longer than chance) or NULL. But for the limits, the forest decides: a spike or frozen reading
+    has a score of at least ODD, and then a leap of LEAST_LEAP typical steps or LEAST_PART of the length beyond chance. Rows without source or time
     and NULL or NaN values have no row. Repeated rows are judged like their first; a row of the same
     instant with another value is judged against the readings beside it.
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegrid.operators import gridding, rolling, spikes
 from tidegrid.session import table
@@ -16,6 +17,11 @@ def p1_grid(spark: SparkSession, folder: str) -> DataFrame:
     return gridding.regular_grid(table(spark, folder, "canonical_records"))
 
 
+def p1_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """What the grid counts and marks: every column that doesn't come from the smoother."""
+    return gridding.regular_grid(table(spark, folder, "canonical_records")).select("subject_id", "slot_start_us", "n_readings", "missing", "gap_slots")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return rolling.empty_periods(rolling.rolling_totals(table(spark, folder, "canonical_records")))
 
@@ -32,7 +38,12 @@ def p3_scores(spark: SparkSession, folder: str) -> DataFrame:
     return spikes.score_readings(table(spark, folder, "canonical_records"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p2_found": p2_found, "p2_rolling": p2_rolling, "p3_found": p3_found, "p3_scores": p3_scores}
+def p3_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings that the limit rule flags, among the scores of all."""
+    return spikes.score_readings(table(spark, folder, "canonical_records"), only_flagged=True).where(F.col("rule") == "impossible").select("record_id", "signal", "value")
+
+
+QUERIES = {"p1_found": p1_found, "p1_grid": p1_grid, "p1_marks": p1_marks, "p2_found": p2_found, "p2_rolling": p2_rolling, "p3_found": p3_found, "p3_scores": p3_scores, "p3_limits": p3_limits}
 
 _FIRST_ROWS = """
 first_rows AS (
@@ -56,7 +67,32 @@ sums AS (
   GROUP BY c.subject_id, c.d)
 """
 
+
+
+def _limits_sql(signal: str) -> str:
+    low, high = spikes.SIGNALS[signal]["limits"]
+    a, b, factor, offset = spikes.SIGNALS[signal]["other"]
+    return f"""
+SELECT record_id, '{signal}' AS signal, {signal} AS value
+FROM (SELECT record_id, {signal}, quantile_disc(CASE WHEN nth = 1 THEN {signal} END, 0.5) OVER (PARTITION BY subject_id) BETWEEN {a} AND {b} AS other
+  FROM (SELECT record_id, subject_id, {signal}, row_number() OVER (PARTITION BY subject_id, "timestamp" ORDER BY record_id) AS nth
+    FROM canonical_records WHERE subject_id IS NOT NULL AND "timestamp" IS NOT NULL AND NOT isnan({signal})))
+WHERE NOT (CASE WHEN other THEN {signal} * {factor!r} + {offset!r} ELSE {signal} END BETWEEN {low} AND {high})"""
+
+
 SQL = {
+    "p1_marks": """
+WITH s AS (
+  SELECT subject_id, epoch_us("timestamp") // 300000000 AS slot, count(*) AS n FROM canonical_records
+  WHERE subject_id IS NOT NULL AND NOT isnan(glucose) AND glucose BETWEEN 20 AND 600 GROUP BY ALL),
+g AS (SELECT subject_id, unnest(range(min(slot), max(slot) + 1)) AS slot FROM s GROUP BY subject_id),
+m AS (
+  SELECT subject_id, slot, n, max(slot) FILTER (n > 0) OVER w AS before,
+    min(slot) FILTER (n > 0) OVER (PARTITION BY subject_id ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
+  FROM g LEFT JOIN s USING (subject_id, slot) WINDOW w AS (PARTITION BY subject_id ORDER BY slot))
+SELECT subject_id, slot * 300000000 AS slot_start_us, coalesce(n, 0) AS n_readings, n IS NULL AS missing,
+  CASE WHEN n IS NULL THEN after - before - 1 ELSE 0 END AS gap_slots FROM m""",
+    "p3_limits": " UNION ALL ".join(map(_limits_sql, spikes.SIGNALS)),
     "p1_found": """
 WITH s AS (
   SELECT DISTINCT subject_id, epoch_us("timestamp") // 300000000 AS slot FROM canonical_records
