@@ -1,8 +1,8 @@
 """Test texts leaking into a corpus: one Aho-Corasick automaton over normalised test items.
 
-The automaton holds every run of PIECE words of every item. A document is folded (case, accents,
-compatibility forms, invisible signs), scanned once, and every item of which enough runs occur is aligned
-with the document word by word; word positions lead back to offsets in the original text.
+The automaton holds every run of PIECE words of every item, as numbers of words. A document is folded (case, accents,
+compatibility forms, invisible signs) and scanned once; runs that occur join into passages, passages in running order into
+the share of the item that the document holds; word positions lead back to offsets in the original text.
 """
 
 from __future__ import annotations
@@ -18,18 +18,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a pattern; runs of an item that must occur before the two are aligned.
-PIECE, LEAST_RUNS = 6, 4
-#: Value of a differing word in an alignment (an equal one is worth 1), least value of a passage, and
-#: least share of the item's words in all passages.
-DIFFERENT, LEAST_VALUE, SHARE = -4, 9, 0.35
-#: Items of one automaton; more items are taken in blocks, each against all documents.
-BLOCK_ITEMS = 20_000
+from tidegrid.session import checkpointed
+
+#: Words of a pattern: shorter runs of equal words count only between two longer ones.
+PIECE = 4
+#: Words of a run of equal words that says something though every piece of it stands in other items too.
+LONG = 9
+#: Cost of a word that differs inside a passage (an equal one in a run that says something is worth 1), most differing words in a row,
+#: and least value of a passage; of an item with fewer than twice as many words the least value is half its words.
+DIFFERENT, GAP, LEAST_VALUE = 3, 6, 9
+#: Least share of the item's words in all passages.
+SHARE = 1 / 3
+#: Words of all items of one automaton; more items are taken in blocks, each against all documents.
+BLOCK_WORDS = 1_000_000
 
 OUTPUT = "doc_id bigint, item_id bigint, share double, n_words bigint, char_start bigint, char_end bigint"
+PREPARED = "item_id bigint, words array<string>, whole string, prefixes array<struct<n:int,key:string>>"
 
-_GAP = re.compile("[^a-z0-9]+")
-_WORD = re.compile("[a-z0-9]+")
+#: Signs of scripts written without spaces (South East Asian, Japanese, Chinese), each a word of its own.
+_SOLO = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ASCII_WORD = re.compile("[a-z0-9]+")
+_WORD = re.compile(f"[a-z0-9]+|[{_SOLO}]|[^\\W_a-z0-9{_SOLO}]+")
+_SENTENCE = re.compile("(?<=[.?!\u2026:\u3002\uff1f\uff01])\\s+|\n+|(?<=[\u3002\uff1f\uff01])")
 #: Signs without width that may stand inside a word.
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
@@ -42,7 +52,7 @@ for _b in range(128, 160):
     except UnicodeDecodeError:
         pass
 _TAIL = "[" + "".join(c for c, b in _BYTE.items() if b < 192) + "]"
-_GARBLED = re.compile(f"[\u00c2-\u00df]{_TAIL}|[\u00e0-\u00ef]{_TAIL}{{2}}|[\u00f0-\u00f4]{_TAIL}{{3}}")
+_GARBLED = re.compile(f"[\xc2-\xdf]{_TAIL}|[\xe0-\xef]{_TAIL}{{2}}|[\xf0-\xf4]{_TAIL}{{3}}")
 
 
 def plain(sign: str) -> str:
@@ -65,9 +75,14 @@ def folded(text: str) -> str:
     return text.lower()
 
 
+def words_of(low: str) -> list[str]:
+    """Words of a folded text, of any script."""
+    return (_ASCII_WORD if low.isascii() else _WORD).findall(low)
+
+
 def offsets(text: str, low: str) -> list[tuple[int, int]]:
     """Start and end in the original text of every word of its folded form."""
-    spans = [m.span() for m in _WORD.finditer(low)]
+    spans = [m.span() for m in (_ASCII_WORD if low.isascii() else _WORD).finditer(low)]
     if text.isascii():
         return spans
     origin: list[int] = []
@@ -81,171 +96,273 @@ def offsets(text: str, low: str) -> list[tuple[int, int]]:
     return [(origin[a], origin[b - 1] + 1) for a, b in spans]
 
 
+def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body over (item_id, item_text): folded words of the items that have any, with a digest of the whole and of
+    the words up to the end of each of its sentences."""
+    for batch in batches:
+        rows = []
+        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("item_text").to_pylist()):
+            digest, prefixes, words = hashlib.md5(), [], []
+            for sentence in _SENTENCE.split(text or ""):
+                more = words_of(folded(sentence))
+                if more:
+                    words += more
+                    digest.update(" ".join([*more, ""]).encode("utf-8", "replace"))
+                    prefixes.append({"n": len(words), "key": digest.hexdigest()})
+            if words:
+                rows.append((item, words, prefixes[-1]["key"], prefixes))
+        if rows:
+            kinds = (pa.int64(), pa.list_(pa.string()), pa.string(), pa.list_(pa.struct([("n", pa.int32()), ("key", pa.string())])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["item_id", "words", "whole", "prefixes"])
+
+
+def compared(items: DataFrame) -> DataFrame:
+    """(item_id, words, whole, opening, common) of items. opening: number of words of the leading sentences that
+    a different item begins with as well, 0 where fewer than PIECE words would be left. common: places of the pieces that stand in a different item too."""
+    ready = checkpointed(items.select(F.col("item_id").cast("bigint").alias("item_id"), "item_text").mapInArrow(prepared, PREPARED))
+    once = ready.groupBy("whole").agg(F.first("words").alias("words"), F.first("prefixes").alias("prefixes"))
+
+    def in_several(each: DataFrame) -> DataFrame:
+        several = each.groupBy("key").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where(F.col("a") != F.col("b"))
+        return each.join(several.select("key"), "key")
+
+    prefixes = once.select("whole", F.size("words").alias("n_words"), F.inline("prefixes"))
+    openings = in_several(prefixes).where(F.col("n") + PIECE <= F.col("n_words")).groupBy("whole").agg(F.max("n").alias("opening"))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (PIECE - 1))), lambda i: F.md5(F.array_join(F.slice("words", i, PIECE), " ")))
+    common = in_several(once.select("whole", F.posexplode(pieces).alias("at", "key"))).groupBy("whole").agg(F.collect_list("at").alias("common"))
+    both = ready.drop("prefixes").join(openings, "whole", "left").join(common, "whole", "left")
+    return both.select("item_id", "words", "whole", F.coalesce("opening", F.lit(0)).alias("opening"), F.coalesce("common", F.array().cast("array<int>")).alias("common"))
+
+
 class Items:
-    """Test items ready for the scan."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = np.array([i for i, _ in items], np.int64)
-        self.words = [_GAP.sub(" ", folded(t or "")).split() for _, t in items]
-        self.own = [np.ones(len(w), bool) for w in self.words]
-        order = sorted(range(len(items)), key=lambda k: self.words[k])
-        for x, y in zip(order, order[1:]):
-            alike = 0
-            for p, q in zip(self.words[x], self.words[y]):
-                if p != q:
-                    break
-                alike += 1
-            # an opening that several different items share says nothing about any of them
-            if alike >= PIECE and self.words[x] != self.words[y]:
-                self.own[x][:alike] = False
-                self.own[y][:alike] = False
-        places: dict[str, list[tuple[int, int]]] = {}
+    """Test items, distinct by their words, ready for the scan."""
+
+    def __init__(self, items: list[tuple[int, list[str], int, list[int]]], share: float):
+        ids: dict[tuple[str, ...], list[int]] = {}
+        about = {}
+        for item, words, opening, common in items:
+            ids.setdefault(tuple(words), []).append(item)
+            about[tuple(words)] = opening, common
+        self.ids = list(ids.values())
+        self.number: dict[str, int] = {}
+        number = lambda w: self.number.setdefault(w, len(self.number) + 1)
+        self.words, self.rare, openings = [], [], []
+        for words in ids:
+            numbers, kept = few([number(w) for w in words])
+            opening, common = about[words]
+            n = min(PIECE, len(numbers))
+            rare = np.ones(len(words), bool)
+            rare[common] = False
+            if kept is not None:
+                rare, opening = rare[kept], int(np.searchsorted(kept, opening))
+            self.words.append(np.array(numbers, np.int64))
+            self.rare.append(np.r_[0, np.cumsum(rare[: len(numbers) - n + 1])])  # number of pieces before each place that no other item has
+            openings.append(min(opening, len(numbers) - 1))
+        self.opening = np.array(openings, np.int64)
+        self.own = np.array([len(w) for w in self.words], np.int64) - self.opening
+        self.need = np.maximum(1, np.ceil(share * self.own - 1e-9)).astype(np.int64)
+        self.piece = np.array([min(PIECE, len(w)) for w in self.words], np.int64)
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for k, words in enumerate(self.words):
-            n = min(PIECE, len(words))
-            for at in range(len(words) - n + 1 if n else 0):
-                places.setdefault(" ".join(words[at : at + n]), []).append((k, at))
-        self.automaton = ahocorasick.Automaton()
+            n, listed = int(self.piece[k]), words.tolist()
+            for at in range(len(listed) - n + 1):
+                places.setdefault(tuple(listed[at : at + n]), []).append((k, at))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE) if places else None
         self.start = np.zeros(len(places) + 1, np.int64)
-        flat: list[tuple[int, int]] = []
         self.length = np.zeros(len(places), np.int64)
+        flat: list[tuple[int, int]] = []
         for g, (piece, where) in enumerate(places.items()):
-            self.automaton.add_word(f" {piece} ", g)
-            self.length[g] = piece.count(" ") + 1
+            self.automaton.add_word(piece, g)
+            self.length[g] = len(piece)
             flat += where
             self.start[g + 1] = len(flat)
         self.flat = np.array(flat, np.int64).reshape(-1, 2)
-        self.automaton.make_automaton()
+        if places:
+            self.automaton.make_automaton()
 
-    def hits(self, line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hits(self, words: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Item, word of the item and word of the document where a piece begins in both."""
-        found = list(self.automaton.iter(line))
+        found = list(self.automaton.iter(tuple(words))) if self.automaton is not None else []
         if not found:
             return (np.zeros(0, np.int64),) * 3
-        end, gram = np.array(found, np.int64).T
-        gaps = np.flatnonzero(np.frombuffer(line.encode("ascii"), np.uint8) == 32)
-        word = np.searchsorted(gaps, end) - self.length[gram]
-        count = self.start[gram + 1] - self.start[gram]
+        end, piece = np.array(found, np.int64).T
+        count = self.start[piece + 1] - self.start[piece]
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        place = self.flat[np.repeat(self.start[gram], count) + nth]
-        return place[:, 0], place[:, 1], np.repeat(word, count)
-
-
-def passages(words: list[str], item: list[str], at_item: np.ndarray, at_doc: np.ndarray) -> list[tuple[int, int, int, int, np.ndarray]]:
-    """Passages of worth: first and end word in the document and in the item, and the item's words found."""
-    order = np.argsort(at_doc, kind="stable")
-    blocks: list[list[tuple[int, int]]] = []
-    open_: list[list[tuple[int, int]]] = []
-    for d, i in zip(at_doc[order].tolist(), at_item[order].tolist()):
-        open_ = [b for b in open_ if d - b[-1][0] <= 40]
-        for b in reversed(open_):
-            ld, li = b[-1]
-            if d >= ld and 0 < i - li <= 40 and abs((d - i) - (ld - li)) <= 4:
-                b.append((d, i))
-                break
-        else:
-            blocks.append([(d, i)])
-            open_.append(blocks[-1])
-    out, least = [], min(LEAST_VALUE, len(item))
-    for block in blocks:
-        low, high = max(0, block[0][1] - 12), min(len(item), block[-1][1] + PIECE + 12)
-        match = np.full(high - low, -1)
-        for shift in dict.fromkeys(d - i for d, i in block):
-            for i in range(low, high):
-                if match[i - low] < 0 and 0 <= i + shift < len(words) and words[i + shift] == item[i]:
-                    match[i - low] = i + shift
-        # best stretches by value
-        stack: list[tuple[int, int, int]] = []
-        value, begin, best, best_end = 0, 0, 0, 0
-        for i, m in enumerate(match.tolist()):
-            if value == 0:
-                begin = i
-            value += 1 if m >= 0 else DIFFERENT
-            if value > best:
-                best, best_end = value, i + 1
-            if value <= 0 or value < best - 3 * -DIFFERENT:
-                if best >= least:
-                    stack.append((begin, best_end, best))
-                value, best = 0, 0
-        if best >= least:
-            stack.append((begin, best_end, best))
-        for a, b, _ in stack:
-            found = np.flatnonzero(match[a:b] >= 0) + a
-            out.append((int(match[found].min()), int(match[found].max()) + 1, low + a, low + b, found + low))
+        place = self.flat[np.repeat(self.start[piece], count) + nth]
+        return place[:, 0], place[:, 1], np.repeat(end + 1 - self.length[piece], count)
+
+    def likely(self, item: np.ndarray, at_item: np.ndarray) -> np.ndarray:
+        """Items of which pieces cover enough own words, wherever they stand."""
+        pairs = np.unique(item << 32 | at_item)
+        item, at = pairs >> 32, pairs & 0xFFFFFFFF
+        begin, end = np.maximum(at, self.opening[item]), at + self.piece[item]
+        last = np.r_[item[1:] != item[:-1], True]
+        end = np.where(last, end, np.minimum(end, np.r_[at[1:], 0]))
+        covered = np.bincount(item, np.maximum(end - begin, 0), minlength=len(self.need))
+        return np.flatnonzero(covered >= self.need)
+
+
+def few(words: list[int]) -> tuple[list[int], np.ndarray | None]:
+    """Words with runs of one word cut to PIECE of it, and the places of those kept (None if it is all)."""
+    if len(words) <= PIECE:
+        return words, None
+    number = np.array(words)
+    same = np.ones(len(words) - PIECE, bool)
+    for k in range(PIECE):
+        same &= number[PIECE:] == number[k : len(words) - PIECE + k]
+    same &= number[PIECE:] > 0
+    if not same.any():
+        return words, None
+    kept = np.flatnonzero(~np.r_[np.zeros(PIECE, bool), same])
+    return number[kept].tolist(), kept
+
+
+def passages(words: np.ndarray, item: np.ndarray, rare: np.ndarray, at_item: np.ndarray, at_doc: np.ndarray, piece: int) -> list[tuple[int, int, int, int, list[tuple[int, int]]]]:
+    """Passages of worth: first and end word in the document and in the item, and the item's words found, as ranges."""
+    # runs of equal words
+    shift = at_doc - at_item
+    order = np.lexsort((at_item, shift))
+    s, i = shift[order], at_item[order]
+    begins = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (i[1:] != i[:-1] + 1)])
+    ends = np.r_[begins[1:], len(i)] - 1
+    low, high, by = i[begins], i[ends] + piece, s[begins]
+    order = np.lexsort((low, low + by))
+    low, high, by = low[order], high[order], by[order].tolist()
+    says = ((high - low >= LONG) | (rare[high - piece + 1] > rare[low])).tolist()
+    low, high = low.tolist(), high.tolist()
+    best, before, active = [], [], []
+    for b, (b0, b1, bs) in enumerate(zip(low, high, by)):
+        active = [a for a in active if high[a] + by[a] >= b0 + bs - GAP]
+        value, link = (b1 - b0 if says[b] else 0), -1
+        for a in active:
+            lost = max(0, high[a] - b0, high[a] + by[a] - b0 - bs)
+            gap_item, gap_doc = b0 + lost - high[a], b0 + bs + lost - high[a] - by[a]
+            gap = max(gap_item, gap_doc)
+            if b1 - b0 <= lost or gap > GAP or low[a] >= b0:
+                continue
+            equal = int((item[high[a] : b0] == words[high[a] + bs : b0 + bs]).sum()) if by[a] == bs else 0
+            worth = best[a] + (b1 - b0 - lost if says[b] else 0) - DIFFERENT * (gap - equal)
+            if worth > value:
+                value, link = worth, a
+        best.append(value)
+        before.append(link)
+        active.append(b)
+    # the best chains, each run in one of them
+    out, used, least = [], set(), min(LEAST_VALUE, -(-len(item) // 2))
+    for b in sorted(range(len(best)), key=lambda k: -best[k]):
+        if best[b] < least:
+            break
+        chain, k = [], b
+        while k >= 0 and k not in used:
+            chain.append(k)
+            used.add(k)
+            k = before[k]
+        if best[b] - (best[k] if k >= 0 else 0) < least or not chain:
+            continue
+        chain.reverse()
+        found = [(low[k], high[k]) for k in chain]
+        for x, y in zip(chain, chain[1:]):
+            if by[x] == by[y]:
+                found += [(j, j + 1) for j in range(high[x], low[y]) if item[j] == words[j + by[y]]]
+        first, last = chain[0], chain[-1]
+        # single equal words beyond the ends
+        a, z = low[first], high[last]
+        for step, edge, diagonal in ((-1, a - 1, by[first]), (1, z, by[last])):
+            worth = 0
+            for j in range(edge, edge + step * (GAP + PIECE), step):
+                if not (0 <= j < len(item) and 0 <= j + diagonal < len(words)):
+                    break
+                equal = item[j] == words[j + diagonal]
+                worth += 1 if equal else -DIFFERENT
+                if equal:
+                    found.append((j, j + 1))
+                    a, z = min(a, j), max(z, j + 1)
+                if worth < -2 * DIFFERENT:
+                    break
+        out.append((a + by[first], z + by[last], a, z, found))
     return out
 
 
-def leak(words: list[str], item: list[str], own: np.ndarray, at_item: np.ndarray, at_doc: np.ndarray) -> tuple[float, int, int, int]:
-    """Share of the item's words found in running order in passages (shared openings left out), their
-    number, and the first and end word in the document."""
-    parts = sorted(set((d0, d1, i0, i1, tuple(found.tolist())) for d0, d1, i0, i1, found in passages(words, item, at_item, at_doc)))
-    best: list[tuple[int, int]] = []
-    for k, (d0, d1, i0, i1, found) in enumerate(parts):
-        worth = int(own[list(found)].sum())
-        before = max(((best[j][0], j) for j in range(k) if parts[j][1] <= d0 + 2 and parts[j][3] <= i0 + 2), default=(0, -1))
-        best.append((worth + before[0], before[1]))
-    if not best:
-        return 0.0, 0, 0, 0
-    k = max(range(len(best)), key=lambda j: best[j][0])
-    n, end = best[k][0], parts[k][1]
-    while best[k][1] >= 0:
-        k = best[k][1]
-    return n / max(1, int(own.sum())), n, parts[k][0], end
-
-
-def scan(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], key: str, share: float) -> Iterator[pa.RecordBatch]:
-    """mapInArrow body over (doc_id, text). The automaton is built once per worker process."""
-    kept = vars(ahocorasick).setdefault("kept_items", {})
-    if key not in kept:
-        kept.clear()
-        kept[key] = Items(items)
-    ready = kept[key]
-    least = np.array([max(1, min(LEAST_RUNS, len(w) - PIECE + 1)) for w in ready.words])
+def leak(words: np.ndarray, item: np.ndarray, rare: np.ndarray, opening: int, at_item: np.ndarray, at_doc: np.ndarray, piece: int) -> tuple[int, int, int]:
+    """Number of the item's own words found in running order in passages, and the first and end word in the document."""
+    parts = sorted(passages(words, item, rare, at_item, at_doc, piece), key=lambda p: p[:4])
+    if not parts:
+        return 0, 0, 0
+    d0, d1, i0, i1 = (np.array([p[k] for p in parts]) for k in range(4))
+    worth = np.zeros(len(parts), np.int64)
+    for k, part in enumerate(parts):
+        have = np.zeros(part[3] - part[2], bool)
+        for a, b in part[4]:
+            have[max(a, opening) - part[2] : max(b, opening) - part[2]] = True
+        worth[k] = have.sum()
+    total, before = worth.copy(), np.full(len(parts), -1)
+    for k in range(1, len(parts)):
+        fits = np.where((d1[:k] <= d0[k] + 2) & (i1[:k] <= i0[k] + 2), total[:k], 0)
+        j = int(fits.argmax())
+        if fits[j] > 0:
+            total[k] += fits[j]
+            before[k] = j
+    k = int(total.argmax())
+    n, end = int(total[k]), int(d1[k])
+    while before[k] >= 0:
+        k = before[k]
+    return n, int(d0[k]), end
+
+
+def scan(batches: Iterator[pa.RecordBatch], shared, share: float) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body over (doc_id, text). The automaton is built once per worker process and kept with the broadcast items."""
+    ready = shared.value.get("ready")
+    if ready is None:
+        ready = shared.value["ready"] = Items(shared.value["items"], share)
     names = [x.split()[0] for x in OUTPUT.split(", ")]
+    number = ready.number.get
     for batch in batches:
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             if not text:
                 continue
             low = folded(text)
-            item, at_item, at_doc = ready.hits(f" {_GAP.sub(' ', low).strip()} ")
+            words, kept = few([number(w, 0) for w in words_of(low)])
+            item, at_item, at_doc = ready.hits(words)
             if not len(item):
                 continue
-            pairs = np.unique(item * (1 << 20) + at_item)
-            runs = np.bincount(pairs >> 20, minlength=len(least))
-            likely = np.flatnonzero((runs >= least) & (runs > 0))
+            likely, spans = ready.likely(item, at_item), None
             if not len(likely):
                 continue
-            words, spans = _GAP.sub(" ", low).split(), None
+            words = np.array(words)
             for k in likely.tolist():
                 mine = item == k
-                part, n, first, end = leak(words, ready.words[k], ready.own[k], at_item[mine], at_doc[mine])
-                if part >= share:
+                n, first, end = leak(words, ready.words[k], ready.rare[k], int(ready.opening[k]), at_item[mine], at_doc[mine], int(ready.piece[k]))
+                if n >= ready.need[k]:
                     spans = spans or offsets(text, low)
-                    rows.append((doc, int(ready.ids[k]), part, n, spans[first][0], spans[end - 1][1]))
+                    a, z = (first, end - 1) if kept is None else (kept[first], kept[end - 1])
+                    rows += [(doc, i, n / int(ready.own[k]), n, spans[a][0], spans[z][1]) for i in ready.ids[k]]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
 
-def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents that hold at least `share` of an item's words in running order.
 
     docs (doc_id bigint, text string), items (item_id bigint, item_text string). Columns: doc_id, item_id, share
     (of the item's own words), n_words, char_start and char_end (offsets in the original text around all passages found).
-    A shared opening of several items counts neither as found nor as to be found. NULL and empty texts
-    and items have no row; items shorter than a pattern must occur whole. Repeated documents
-    each have their rows. Items are a stated query set: they are taken in blocks of block_items.
+    Leading sentences that several different items share count neither as found nor as to be found, unless an item would have fewer than PIECE words left.
+    Words of any script count; in scripts without spaces each sign is a word. A word more than PIECE times in a row counts PIECE times.
+    NULL and empty texts and items have no row; items of up to PIECE words must occur whole. Repeated documents and
+    items each have their rows. Items are a stated query set: beyond block_words words in all they are taken in blocks, one after the other.
     """
     spark = docs.sparkSession
-    total = items.count()
+    ready = checkpointed(compared(items))
+    blocks = max(1, -(-(ready.agg(F.sum(F.size("words"))).first()[0] or 0) // block_words))
     result = spark.createDataFrame([], OUTPUT)
-    numbered = items.where(F.length(F.trim("item_text")) > 0).select("item_id", "item_text")
-    for k in range(max(1, -(-total // block_items))):
-        blocks = -(-total // block_items)
-        part = numbered.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else numbered
-        block = sorted((r["item_id"], r["item_text"]) for r in part.collect())
-        if block:
-            key = hashlib.sha256(repr(block).encode()).hexdigest()
-            shared = spark.sparkContext.broadcast(block)
-            found = docs.select("doc_id", "text").mapInArrow(lambda it, b=shared, c=key: scan(it, b.value, c, share), OUTPUT)
-            result = found if k == 0 else result.unionByName(found)
+    for k in range(blocks):
+        block = [tuple(r) for r in ready.where(F.pmod(F.xxhash64("whole"), F.lit(blocks)) == k).select("item_id", "words", "opening", "common").collect()]
+        if not block:
+            continue
+        shared = spark.sparkContext.broadcast({"items": block})
+        found = docs.select("doc_id", "text").mapInArrow(lambda it, b=shared: scan(it, b, share), OUTPUT)
+        if blocks > 1:  # only one block is held at a time
+            found = checkpointed(found)
+            shared.unpersist()
+        result = result.unionByName(found)
     return result
