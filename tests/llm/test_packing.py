@@ -1,3 +1,5 @@
+import base64
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -56,8 +58,29 @@ def test_tokens(spark):
     assert token_counts(df.limit(0)).count() == 0
 
 
-def test_parts_are_the_whole_text():
-    text = "lorem ipsum " * 100_000
-    assert "".join(parts(text)) == text and len(list(parts(text))) > 1
-    encode = encoding(vocabulary()).encode_ordinary
-    assert sum(len(encode(p)) for p in parts(text)) == pytest.approx(len(encode(text)), abs=5)
+ENCODE = None
+
+
+def encode(text):
+    global ENCODE
+    if ENCODE is None:
+        import public_tokenizers
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary(), "rb"))}
+        ENCODE = encoding({"ranks": ranks, "pattern": public_tokenizers.PATTERN}).encode_ordinary
+    return ENCODE(text)
+
+
+@given(st.text(st.sampled_from("ab1 \n\t'.s\u00a0\u3000\x1c\u0300Я糖"), max_size=60), st.integers(1, 9))
+@settings(max_examples=300, deadline=None)
+def test_parts_give_the_tokens_of_the_whole(text, size):
+    cut = list(parts(text, size))
+    assert "".join(cut) == text
+    assert [t for p in cut for t in encode(p)] == encode(text)
+
+
+def test_long_texts_count_as_a_whole(spark):
+    text = "lorem ipsum 12.5 mg/dl,\n\n  dolor " * 60_000 + "a" * 450_000 + " end"
+    assert len(list(parts(text))) > 3
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert token_counts(df).first().n_tokens == len(encode(text))

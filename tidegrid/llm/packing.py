@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tokens of a container.
+CAPACITY = 4096
 #: Items of a group on average. A group leaves at most a few containers half empty, so larger groups waste less.
 GROUP_ITEMS = 20_000
 
@@ -40,7 +42,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return container
 
 
-def pack(sizes: DataFrame, capacity: int = 4096, group_items: int = GROUP_ITEMS, seed: int = 5) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, seed: int = 5) -> DataFrame:
     """Packs items (doc_id bigint, n_tokens bigint) into containers.
 
     Columns: doc_id, piece (from 0), n_pieces, start_token, n_tokens and container_id. Only an item larger than

@@ -34,6 +34,17 @@ def p5_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.person_splits(table(spark, folder, "canonical_records"), table(spark, folder, "subjects"))
 
 
+def p5_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of all splits, whether each split holds its share of rows to within a hundredth, and persons in more than one split."""
+    each = checkpointed(p5_splits(spark, folder))
+    torn = each.groupBy("component").agg(F.count_distinct("split").alias("n")).where(F.col("n") > 1).agg(F.count("*").alias("n_torn"))
+    sizes = each.groupBy("split").agg(F.sum("n_rows").alias("rows"))
+    total = sizes.agg(F.sum("rows").alias("n_rows"))
+    want = F.create_map(*(F.lit(x) for pair in zip(splits.SPLITS, splits.PROPORTIONS) for x in pair))
+    near = F.abs(F.col("rows") / F.col("n_rows") - F.element_at(want, F.col("split"))) < 0.01
+    return sizes.join(F.broadcast(total)).select("split", "n_rows", near.alias("near")).join(F.broadcast(torn))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return splits.person_pairs(p5_splits(spark, folder))
 
@@ -45,7 +56,20 @@ def p6_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_packing(spark, folder).where((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select("doc_id")
+    # a document of which the packing has put a second piece into a container
+    return p6_packing(spark, folder).where((F.col("piece") == 1) & F.col("container_id").isNotNull()).select("doc_id")
+
+
+def p6_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of the packing: documents, documents without tokens, documents cut without need, overfull containers, and whether
+    containers but one of each group are at least 98 % full."""
+    packed = checkpointed(p6_packing(spark, folder))
+    load = packed.where(F.col("container_id").isNotNull()).groupBy("container_id").agg(F.sum("n_tokens").alias("load"))
+    groups = F.count_distinct(F.shiftright("container_id", 32))
+    full = load.agg(F.count(F.when(F.col("load") > packing.CAPACITY, 1)).alias("n_overfull"), (F.sum("load") >= 0.98 * packing.CAPACITY * (F.count("*") - groups)).alias("full"))
+    each = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("n_pieces").alias("pieces"))
+    documents = each.agg(F.count("*").alias("n_documents"), F.count(F.when(F.col("n") == 0, 1)).alias("n_empty"), F.count(F.when(F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("n") / packing.CAPACITY)), 1)).alias("n_cut_without_need"))
+    return documents.join(F.broadcast(full))
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +88,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_levels(spark, folder).where(F.col("band").isNotNull()).select("doc_id", "band")
 
 
-QUERIES = {"p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_packing": p6_packing, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_levels": p8_levels}
+QUERIES = {"p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_splits": p5_splits, "p5_totals": p5_totals, "p6_found": p6_found, "p6_packing": p6_packing, "p6_totals": p6_totals, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_levels": p8_levels}
 
 _LEFT = """
 others AS (
@@ -83,6 +107,12 @@ pairs AS (
 SQL = {
     "p4_found": f"WITH {_LEFT} SELECT cgm_id, other_id FROM pairs",
     "p4_nearest": f"WITH {_LEFT} SELECT cgm_id, other_id, distance_us FROM pairs",
+    "p5_totals": """
+SELECT split, (SELECT count(*) FROM canonical_records WHERE subject_id IS NOT NULL) AS n_rows, true AS near, 0 AS n_torn
+FROM (VALUES ('train'), ('validation'), ('test')) AS s(split)""",
+    "p6_totals": """
+SELECT count(*) AS n_documents, count(*) FILTER (coalesce(text, '') = '') AS n_empty, 0 AS n_cut_without_need, 0 AS n_overfull, true AS "full"
+FROM documents""",
     "p5_found": r"""
 WITH RECURSIVE
 plain(raw, id) AS (

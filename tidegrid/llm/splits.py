@@ -114,7 +114,7 @@ def swap_search(components: DataFrame, proportions=PROPORTIONS, rounds: int = 3,
 
 
 def person_splits(records: DataFrame, subjects: DataFrame, proportions=PROPORTIONS, **search) -> DataFrame:
-    """Split of every written subject_id: (subject_id, component, n_rows, split).
+    """Split of every written subject_id: (subject_id, component, n_ids, n_rows, split), n_ids being the number of ids of the person.
 
     All ids of one person get the same split; proportions are of rows, and the share of low glucose
     readings (usable and under 70) is balanced as the label. Rows without subject_id have no split. Ids
@@ -129,14 +129,15 @@ def person_splits(records: DataFrame, subjects: DataFrame, proportions=PROPORTIO
     )
     member = connected_components(person_edges(ids, subjects)).where(F.col("node").startswith("w:")).select(F.expr("substring(node, 3)").alias("subject_id"), "component")
     tied = checkpointed(ids.join(member, "subject_id"))
-    sizes = tied.groupBy("component").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_positive").alias("n_positive"))
-    split = swap_search(sizes, proportions, **search).select("component", "split")
+    sizes = tied.groupBy("component").agg(F.count("*").alias("n_ids"), F.sum("n_rows").alias("n_rows"), F.sum("n_positive").alias("n_positive"))
+    split = swap_search(sizes.drop("n_ids"), proportions, **search).select("component", "split").join(sizes.select("component", "n_ids"), "component")
     names = F.array(*(F.lit(x) for x in SPLITS))
-    return tied.join(split, "component").select("subject_id", "component", "n_rows", F.element_at(names, F.col("split") + 1).alias("split"))
+    return tied.join(split, "component").select("subject_id", "component", "n_ids", "n_rows", F.element_at(names, F.col("split") + 1).alias("split"))
 
 
 def person_pairs(splits: DataFrame) -> DataFrame:
-    """Pairs of different written ids of one person, the lesser first by code points."""
+    """Pairs of different written ids of one person, the lesser first by code points. Of a person with one id there are none."""
+    splits = splits.where(F.col("n_ids") > 1)
     a = splits.select("component", "split", F.col("subject_id").alias("subject_id_a"))
     b = splits.select("component", "split", F.col("subject_id").alias("subject_id_b"))
     return a.join(b, ["component", "split"]).where(F.col("subject_id_a") < F.col("subject_id_b")).select("subject_id_a", "subject_id_b")
