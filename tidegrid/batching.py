@@ -51,3 +51,15 @@ def column(table: pa.Table, name: str, dtype: str = "float64") -> np.ndarray:
     if dtype == "float64":
         return values.to_numpy(zero_copy_only=False).astype("float64", copy=False)
     return values.to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+
+
+def group_quantile(values: np.ndarray, group: np.ndarray, groups: int, share: float = 0.5) -> np.ndarray:
+    """Nearest-rank quantile per group; NaN for a group without values."""
+    n = np.bincount(group, minlength=groups)
+    out = np.full(groups, np.nan)
+    if len(values):
+        ordered = values[np.lexsort((values, group))]
+        start = np.cumsum(n) - n
+        has = n > 0
+        out[has] = ordered[(start + np.floor((n - 1) * share).astype(int))[has]]
+    return out

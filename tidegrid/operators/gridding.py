@@ -3,8 +3,8 @@
 The signal of one source is an integrated Wiener process (level and slope, spectral density q)
 seen through noise of variance r. Readings are first averaged per slot, so a source never has
 more rows than its calendar has slots, however densely it reports. One shuffle by source then
-serves the noise moments (windows), and a vectorised filter and smoother that advances hundreds
-of segments in lock-step. Grid values inside a stretch between two readings follow in closed
+serves the fit of r and q and the smoother, both vectorised: hundreds of segments advance
+in lock-step. Grid values inside a stretch between two readings follow in closed
 form from the two smoothed end states, so the grid itself is exploded in the JVM.
 """
 
@@ -17,17 +17,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.batching import column, whole_groups
+from tidegrid.batching import column, group_quantile, whole_groups
 from tidegrid.session import micros, value_or_null
 
 SLOT_US = 300_000_000
 #: Readings of a segment advanced in lock-step, and the readings before and after it that warm it
-#: up: the influence of where a segment starts fades with a scale of (r/q)^(1/4) slots, under 15 by the bounds of r and q.
+#: up: the influence of where a segment starts fades with a scale of (r/q)^(1/4) slots, under 24 for the ratios tried.
 CORE, HALO = 384, 96
+#: Ratios q/r that are tried for a source. Before its readings are seen, the logarithm (base 10) of the ratio is expected about LIKELY, give or
+#: take a factor of ten, and r about USUAL, with the weight of one reading: no bound on r or q, but short sources stay near.
+RATIOS = 10.0 ** np.arange(-5.5, 3.01, 0.5)
+LIKELY, USUAL = -1.0, 9.0
+#: First readings of a segment, from which nothing is learnt.
+WARM = 8
+#: Shares of the squared normal below 1.645 squared and 2 squared, about: the likelihood takes its scale from the former, so that spikes don't
+#: decide, and r is such that two standard deviations hold the latter of the next readings.
+BULK, HELD = (0.90, 2.706), (0.96, 4.0)
 
 NODE_FIELDS = (
     "subject_id string, slot bigint, next_slot bigint, first boolean, n_readings bigint, next_readings bigint, "
-    "t double, h double, level double, slope double, next_level double, next_slope double, q double, "
+    "t double, h double, level double, slope double, next_level double, next_slope double, r double, q double, "
     "p00 double, p01 double, p11 double, n00 double, n01 double, n11 double, c00 double, c01 double, c10 double, c11 double"
 )
 
@@ -54,40 +63,67 @@ def slot_readings(df: DataFrame, low: float = 20.0, high: float = 600.0, slot_us
     )
 
 
-def with_noise(slots: DataFrame, max_step: float = 12.0, clip: float = 60.0) -> DataFrame:
-    """Adds r (noise variance of one reading) and q (trend density) of each source.
+def surprises(t, y, r, ratio, valid):
+    """Squared innovation over its variance, and that variance, of every step of many segments filtered in lock-step, for noise r and
+    trend density `ratio`; all arguments but ratio are (segments, steps) arrays."""
+    count, steps = t.shape
+    squared, variance = np.full((steps, count), np.nan), np.ones((steps, count))
+    dts = np.diff(t, axis=1).T
+    l, s = y[:, 0].copy(), np.zeros(count)
+    a, b, c = r[:, 0].copy(), np.zeros(count), np.full(count, 400.0)
+    for k in range(1, steps):
+        dt = dts[k - 1]
+        l, a, b, c = l + s * dt, a + dt * (2 * b + dt * (c + ratio * dt / 3)), b + dt * (c + ratio * dt / 2), c + ratio * dt
+        gain = a + r[:, k]
+        err, on = y[:, k] - l, valid[:, k]
+        squared[k], variance[k] = np.where(on, err * err / gain, np.nan), gain
+        l, s = np.where(on, l + a / gain * err, l), np.where(on, s + b / gain * err, s)
+        c = np.where(on, c - b * b / gain, c)
+        b, a = np.where(on, b * (r[:, k] / gain), b), np.where(on, a * (r[:, k] / gain), a)
+    return squared.T, variance.T
 
-    e is a reading minus the line through its neighbours. Two e's two steps apart share one reading
-    and no trend, so their product gives r; the square of e then gives q. Sources with fewer than
-    20 such triples get defaults. All windows share one exchange and sort.
+
+def fitted_noise(run: np.ndarray, t: np.ndarray, y: np.ndarray, n: np.ndarray, core: int = CORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Noise variance r of one reading, trend density q, and whether q/r is the least or greatest ratio tried, per group (numbered from 0).
+
+    The ratio is the likeliest of RATIOS, over all readings of the source; the scale of r is that of the innovations.
     """
-    w = Window.partitionBy("subject_id").orderBy("slot")
-    whole = Window.partitionBy("subject_id")
-    h1, h2 = F.col("t") - F.lag("t").over(w), F.lead("t").over(w) - F.col("t")
-    steps = slots.select("*", h1.alias("h1"), h2.alias("h2"), F.lag("y").over(w).alias("y0"), F.lead("y").over(w).alias("y2"), F.lag("n").over(w).alias("n0"), F.lead("n").over(w).alias("n2"))
-    ok = F.col("h1").between(1e-3, max_step) & F.col("h2").between(1e-3, max_step)
-    a0, a2 = F.col("h2") / (F.col("h1") + F.col("h2")), F.col("h1") / (F.col("h1") + F.col("h2"))
-    e = F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col("y") - a0 * F.col("y0") - a2 * F.col("y2")))
-    terms = steps.select(
-        "subject_id", "slot", "t", "y", "n",
-        F.when(ok, e).alias("e"), F.when(ok, a0).alias("a0"), F.when(ok, a2).alias("a2"),
-        F.when(ok, 1 / F.col("n") + a0 * a0 / F.col("n0") + a2 * a2 / F.col("n2")).alias("ra"),
-        F.when(ok, F.col("h1") * F.col("h1") * F.col("h2") * F.col("h2") / (3 * (F.col("h1") + F.col("h2")))).alias("qb"),
-        F.col("n2"),
-    )
-    far = terms.select("*", F.lead("e", 2).over(w).alias("e2"), F.lead("a0", 2).over(w).alias("a0_2"))
-    sums = far.select(
-        "subject_id", "slot", "t", "y", "n",
-        F.count("e").over(whole).alias("k"),
-        F.sum(F.col("e") * F.col("e")).over(whole).alias("ee"),
-        F.sum("ra").over(whole).alias("sra"),
-        F.sum("qb").over(whole).alias("sqb"),
-        F.sum(F.col("e") * F.col("e2")).over(whole).alias("ee2"),
-        F.sum(F.when(F.col("e2").isNotNull(), F.col("a2") * F.col("a0_2") / F.col("n2"))).over(whole).alias("sc"),
-    )
-    r = F.when((F.col("k") >= 20) & (F.col("sc") > 0), F.least(F.lit(400.0), F.greatest(F.lit(0.25), F.col("ee2") / F.col("sc")))).otherwise(F.lit(9.0))
-    q = F.when((F.col("k") >= 20) & (F.col("sqb") > 0), F.least(F.lit(100.0), F.greatest(F.lit(0.01), (F.col("ee") - F.col("r") * F.col("sra")) / F.col("sqb")))).otherwise(F.lit(4.0))
-    return sums.withColumn("r", r).withColumn("q", q).select("subject_id", "slot", "t", "y", "n", "r", "q")
+    groups = int(run[-1]) + 1
+    a, b, _, _, _, _ = segments(run, core, 0)
+    blocks = []
+    for part in np.array_split(np.argsort(b - a, kind="stable"), max(1, len(a) // 384)):
+        at = a[part][:, None] + np.arange(int((b - a)[part].max()))
+        valid = at < b[part][:, None]
+        at = np.minimum(at, b[part][:, None] - 1)
+        learns = valid & (np.arange(at.shape[1]) >= WARM)
+        blocks.append((at, valid, learns, t[at] - t[at[:, :1]], y[at], 1.0 / n[at], at[learns]))
+    rows = np.concatenate([x[-1] for x in blocks])
+    order = np.argsort(run[rows], kind="stable")
+    of = run[rows][order]
+    count = np.bincount(of, minlength=groups)
+    best, r, which = np.full(groups, np.inf), np.full(groups, USUAL), np.zeros(groups, np.int64)
+    for k, ratio in enumerate(RATIOS):
+        found = [surprises(t_, y_, r_, ratio, valid) for _, valid, _, t_, y_, r_, _ in blocks]
+        squared = np.concatenate([z[x[2]] for (z, _), x in zip(found, blocks)])[order]
+        spread = np.bincount(of, np.log(np.concatenate([v[x[2]] for (_, v), x in zip(found, blocks)])[order]), minlength=groups)
+        bulk, held = ((USUAL + count * np.nan_to_num(group_quantile(squared, of, groups, share) / normal)) / (1 + count) for share, normal in (BULK, HELD))
+        cost = 0.5 * (spread + count * np.log(bulk)) + 0.5 * (np.log10(ratio) - LIKELY) ** 2
+        better = cost < best
+        best, r, which = np.where(better, cost, best), np.where(better, held, r), np.where(better, k, which)
+    return r, r * RATIOS[which], (which == 0) | (which == len(RATIOS) - 1)
+
+
+def noise(df: DataFrame, low: float = 20.0, high: float = 600.0, slot_us: int = SLOT_US) -> DataFrame:
+    """Fitted r and q of every source with a usable reading, and at_bound: whether their ratio is the least or greatest tried."""
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, run in whole_groups(batches, ["subject_id"]):
+            run = run - run[0]
+            r, q, bound = fitted_noise(run, column(table, "t"), column(table, "y"), column(table, "n"))
+            first = table.column("subject_id").combine_chunks().take(pa.array(np.flatnonzero(np.r_[True, run[1:] != run[:-1]])))
+            yield pa.RecordBatch.from_arrays([first, pa.array(r), pa.array(q), pa.array(bound)], names=["subject_id", "r", "q", "at_bound"])
+
+    return by_source(df, low, high, slot_us).mapInArrow(fitted, "subject_id string, r double, q double, at_bound boolean")
 
 
 def smooth_block(t, y, r, q, valid):
@@ -150,11 +186,14 @@ def segments(run: np.ndarray, core: int, halo: int):
 
 
 def smoothed(batches: Iterator[pa.RecordBatch], core: int = CORE, halo: int = HALO) -> Iterator[pa.RecordBatch]:
-    """mapInArrow body: (subject_id, slot, t, y, n, r, q) sorted by source and slot in, one node per reading out."""
+    """mapInArrow body: (subject_id, slot, t, y, n) sorted by source and slot in, one node per slot with readings out."""
     names = [x.split()[0] for x in NODE_FIELDS.split(", ")]
     for table, run in whole_groups(batches, ["subject_id"]):
         slot, n = column(table, "slot", "int64"), column(table, "n", "int64")
-        t, y, r, q = (column(table, x) for x in "tyrq")
+        t, y = column(table, "t"), column(table, "y")
+        run = run - run[0]
+        r, q, _ = fitted_noise(run, t, y, n.astype(float))
+        r, q = r[run], q[run]
         a, b, ha, hb, starts, ends = segments(run, core, halo)
         result = [np.zeros(len(t)) for _ in range(9)]
         order = np.argsort(hb - ha, kind="stable")
@@ -175,21 +214,24 @@ def smoothed(batches: Iterator[pa.RecordBatch], core: int = CORE, halo: int = HA
         l, s, p00, p01, p11, c00, c01, c10, c11 = result
         last = nxt == np.arange(len(t))
         c00, c01, c10, c11 = (np.where(last, x, v) for x, v in ((p00, c00), (p01, c01), (p01, c10), (p11, c11)))
-        values = [table.column("subject_id").combine_chunks(), slot, slot[nxt], first, n, n[nxt], t, t[nxt] - t, l, s, l[nxt], s[nxt], q, p00, p01, p11, p00[nxt], p01[nxt], p11[nxt], c00, c01, c10, c11]
+        values = [table.column("subject_id").combine_chunks(), slot, slot[nxt], first, n, n[nxt], t, t[nxt] - t, l, s, l[nxt], s[nxt], r, q, p00, p01, p11, p00[nxt], p01[nxt], p11[nxt], c00, c01, c10, c11]
         yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in values], names=names)
 
 
+def by_source(df: DataFrame, low: float, high: float, slot_us: int) -> DataFrame:
+    return slot_readings(df, low, high, slot_us).repartition("subject_id").sortWithinPartitions("subject_id", "slot")
+
+
 def kalman_nodes(df: DataFrame, low: float = 20.0, high: float = 600.0, slot_us: int = SLOT_US, core: int = CORE, halo: int = HALO) -> DataFrame:
     """Smoothed state at every slot with readings and at the next one, per source."""
-    noisy = with_noise(slot_readings(df, low, high, slot_us)).sortWithinPartitions("subject_id", "slot")
-    return noisy.mapInArrow(lambda it: smoothed(it, core, halo), NODE_FIELDS)
+    return by_source(df, low, high, slot_us).mapInArrow(lambda it: smoothed(it, core, halo), NODE_FIELDS)
 
 
 def regular_grid(df: DataFrame, max_fill_slots: int = 24, low: float = 20.0, high: float = 600.0, slot_us: int = SLOT_US, core: int = CORE, halo: int = HALO) -> DataFrame:
     """One row per source and slot from its first to its last usable reading.
 
-    Columns: subject_id, slot_start_us, n_readings (0 where missing), missing, estimate and sd (smoother's mean
-    and standard deviation at the start of the slot; for the very first slot, at its first reading),
+    Columns: subject_id, slot_start_us, n_readings (0 where missing), missing, estimate (smoother's mean at the start of the slot; for
+    the very first slot, at its first reading), sd (standard deviation of a reading at that time: the smoother's variance of the level and the noise of a reading),
     gap_slots (length of the missing run, 0 if observed) and value: the estimate, NULL in runs longer than
     max_fill_slots, which stay marked as missing. A source without usable reading has no row; a
     source with one reading has one. Repeated readings of an instant are averaged. Columns other
@@ -221,7 +263,7 @@ def regular_grid(df: DataFrame, max_fill_slots: int = 24, low: float = 20.0, hig
     observed = (F.col("at") == F.col("next_slot")) | (F.col("at") == F.col("slot"))
     gap = F.when(observed, F.lit(0)).otherwise(F.col("next_slot") - F.col("slot") - 1).cast("bigint")
     readings = F.when(F.col("at") == F.col("slot"), F.col("n_readings")).when(F.col("at") == F.col("next_slot"), F.col("next_readings")).otherwise(F.lit(0)).cast("bigint")
-    graded = w.select("subject_id", (F.col("at") * F.lit(slot_us)).alias("slot_start_us"), readings.alias("n_readings"), (~observed).alias("missing"), mean.alias("estimate"), F.sqrt(F.greatest(ends + bridge, F.lit(0.0))).alias("sd"), gap.alias("gap_slots"))
+    graded = w.select("subject_id", (F.col("at") * F.lit(slot_us)).alias("slot_start_us"), readings.alias("n_readings"), (~observed).alias("missing"), mean.alias("estimate"), F.sqrt(F.greatest(ends + bridge, F.lit(0.0)) + F.col("r")).alias("sd"), gap.alias("gap_slots"))
     return graded.withColumn("value", F.when(F.col("gap_slots") <= max_fill_slots, F.col("estimate")))
 
 

@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.batching import column, whole_groups
+from tidegrid.batching import column, group_quantile, whole_groups
 from tidegrid.chunks import BROADCAST_KEYS, chunk_numbers, hot_keys, spread_out
 from tidegrid.functions.forest import SAMPLE, TREES, forest_scores, uniform
 from tidegrid.session import broadcast_if_small, checkpointed, micros
@@ -53,18 +53,6 @@ DRAWN = "subject_id string, signal string, us bigint, draw double, features bina
 OUTPUT = "record_id bigint, subject_id string, signal string, value double, score double, rule string"
 
 
-def group_quantile(values: np.ndarray, group: np.ndarray, groups: int, share: float = 0.5) -> np.ndarray:
-    """Nearest-rank quantile per group; NaN for a group without values."""
-    n = np.bincount(group, minlength=groups)
-    out = np.full(groups, np.nan)
-    if len(values):
-        ordered = values[np.lexsort((values, group))]
-        start = np.cumsum(n) - n
-        has = n > 0
-        out[has] = ordered[(start + np.floor((n - 1) * share).astype(int))[has]]
-    return out
-
-
 def filled(index: np.ndarray, backward: bool = False) -> np.ndarray:
     """Last (or next) non-negative entry up to each place; -1 or len where there is none."""
     if backward:
