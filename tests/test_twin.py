@@ -9,7 +9,7 @@ PATH = [110.0, 109.925, 109.795, 109.6264375, 109.43271875, 109.22467828, 109.01
 
 
 def state(spark):
-    return spark.createDataFrame([("s", START_US, 110.0, 0.5, 1.0, 5.0, 110.0, 0, 0)], twin.STATE)
+    return spark.createDataFrame([("s", START_US, 110.0, 0.5, 1.0, 5.0, 110.0, 110.0, 0, 0)], twin.STATE)
 
 
 def test_forecast(spark):
@@ -40,6 +40,10 @@ def test_short_and_missing(spark):
     rows += [{"minutes": 50, "carbohydrates": 30.0}, {"minutes": 80}, {"minutes": 85, "glucose": 90.0}]
     a, b, c = twin.states(readings(spark, rows)).orderBy("us").collect()
     assert (a.missing_glucose, b.missing_glucose, c.missing_glucose) == (1, 1, 0) and (a.long_gap, b.long_gap, c.long_gap) == (0, 1, 0)
+    assert (a.flags, b.flags, c.flags) == (["MISSING_GLUCOSE"], ["MISSING_GLUCOSE", "LONG_GAP"], [])
+    features = twin.twin_features(twin.states(readings(spark, rows), context=0.5, status="calibrated")).orderBy("us").collect()
+    assert [f.twin_residual_current for f in features] == [None, None, 0.0] and [f.twin_has_long_gap for f in features] == [0.0, 1.0, 0.0]
+    assert {(f.twin_context_state, f.twin_uncertainty_calibrated) for f in features} == {(0.5, 1.0)}
     assert a.meal_state == 30 and b.meal_state == pytest.approx(28.5) and c.glucose == 90 and a.glucose >= 10
     assert twin.states(readings(spark, [])).count() == 0
 
@@ -87,3 +91,31 @@ def test_fitted_states(spark):
     assert set(got) == {"s", "few"} and got["s"].baseline == 109.5 and got["few"].baseline == 110.0 and got["few"].missing_glucose == 1
     assert d.where("subject_id = 's'").count() == 11 and d.where("subject_id = 'few'").count() == 6
     assert twin.at_times(d, d.where("subject_id = 'few'").limit(2)).count() == 2
+
+
+def test_update():
+    start = twin.State(START_US, 120.0, context_state=0.3)
+    assert twin.update(start, START_US, 50.0) is start
+    with pytest.raises(ValueError):
+        twin.update(start, START_US - 1, 50.0)
+    gap = twin.update(start, START_US + 20 * MIN, None, carbs=10.0)
+    assert gap.flags == ("MISSING_GLUCOSE", "LONG_GAP") and gap.meal_state == 10 and gap.context_state == 0.3
+    seen = twin.update(gap, gap.us + 15 * MIN, 101.0, bolus=2.0)
+    assert seen.flags == () and seen.glucose == 101 and seen.insulin_state == 2 and seen.meal_state == pytest.approx(9.5)
+    assert twin.update(seen, seen.us + MIN, float("nan")).flags == ("MISSING_GLUCOSE",)
+
+
+def test_update_equals_the_scan(spark):
+    rows = [{"minutes": 5 * i + (20 if i > 30 else 0), "glucose": 100.0 + i if i % 3 else None, "carbohydrates": 12.0 if i % 5 == 0 else None, "bolus_insulin": 1.5 if i % 7 == 0 else None, "basal_insulin": 0.8} for i in range(50)]
+    got = twin.states(readings(spark, rows)).orderBy("us").collect()
+    now = None
+    for r in rows:
+        us = START_US + int(r["minutes"] * MIN)
+        if us < got[0].us:
+            if r["glucose"] is None:
+                continue
+            now = twin.State(us, r["glucose"]) if now is None else twin.update(now, us, r["glucose"], r["carbohydrates"], r["bolus_insulin"], r["basal_insulin"])
+            continue
+        now = twin.update(now, us, r["glucose"], r["carbohydrates"], r["bolus_insulin"], r["basal_insulin"], baseline=got[0].baseline)
+        row = next(g for g in got if g.us == us)
+        assert (row.glucose, row.insulin_action, row.insulin_state, row.meal_state, tuple(row.flags)) == (now.glucose, now.insulin_action, now.insulin_state, now.meal_state, now.flags)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -34,7 +34,37 @@ class Parameters:
     conversion: float = 2.0
 
 
-STATE = "subject_id string, us bigint, glucose double, insulin_action double, insulin_state double, meal_state double, baseline double, missing_glucose int, long_gap int"
+STATE = "subject_id string, us bigint, glucose double, insulin_action double, insulin_state double, meal_state double, baseline double, observed double, missing_glucose int, long_gap int"
+
+#: Names of the quality flags, the gap in minutes beyond which the second is set, and the status of a calibrated state.
+MISSING, LONG_GAP, LONG_GAP_MINUTES, CALIBRATED = "MISSING_GLUCOSE", "LONG_GAP", 15.0, "calibrated"
+
+
+@dataclass(frozen=True)
+class State:
+    """A subject's state at one time. Context and status only carry over from the start."""
+
+    us: int
+    glucose: float
+    insulin_action: float = 0.0
+    insulin_state: float = 0.0
+    meal_state: float = 0.0
+    context_state: float = 0.0
+    flags: tuple[str, ...] = ()
+    status: str = "not_calibrated"
+
+
+def update(state: State, us: int, glucose: float | None = None, carbs: float | None = None, bolus: float | None = None, basal: float | None = None, baseline: float | None = None, p: Parameters = Parameters()) -> State:
+    """State after one reading; NULL and NaN glucose is missing. The same time changes nothing; an earlier one is a ValueError."""
+    if us < state.us:
+        raise ValueError("a reading must not lie before the state")
+    if us == state.us:
+        return state
+    minutes = (us - state.us) / MINUTE_US
+    glucose = None if glucose is None or math.isnan(glucose) else glucose
+    now = step((state.glucose, state.insulin_action, state.insulin_state, state.meal_state), glucose, carbs or 0.0, bolus or 0.0, basal or 0.0, minutes, p.baseline if baseline is None else baseline, p)
+    flags = tuple(name for name, on in ((MISSING, glucose is None), (LONG_GAP, minutes > LONG_GAP_MINUTES)) if on)
+    return replace(state, us=us, glucose=now[0], insulin_action=now[1], insulin_state=now[2], meal_state=now[3], flags=flags)
 
 
 def step(state: tuple, glucose: float | None, carbs: float, bolus: float, basal: float, minutes: float, baseline: float, p: Parameters) -> tuple:
@@ -69,7 +99,7 @@ def scan(batches: Iterator[pa.RecordBatch], p: Parameters, refresh: int | None =
                     state = step(state, glucose, carbs or 0.0, bolus or 0.0, basal or 0.0, (us - at) / MINUTE_US, baseline, p)
                 at = us
                 if refresh is None and us == end:
-                    out.append((sid, us, *state, baseline, 0, 0))
+                    out.append((sid, us, *state, baseline, glucose, 0, 0))
                 continue
             if glucose is not None:
                 count, total = count + 1, total + glucose
@@ -78,15 +108,22 @@ def scan(batches: Iterator[pa.RecordBatch], p: Parameters, refresh: int | None =
             minutes = (us - at) / MINUTE_US
             state = step(state, glucose, carbs or 0.0, bolus or 0.0, basal or 0.0, minutes, baseline, p)
             at = us
-            out.append((sid, us, *state, baseline, int(glucose is None), int(minutes > 15.0)))
+            out.append((sid, us, *state, baseline, glucose, int(glucose is None), int(minutes > LONG_GAP_MINUTES)))
         if out:
-            kinds = (pa.string(), pa.int64(), *[pa.float64()] * 5, pa.int32(), pa.int32())
+            kinds = (pa.string(), pa.int64(), *[pa.float64()] * 6, pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
-def states(readings: DataFrame, parameters: Parameters = Parameters()) -> DataFrame:
+def with_quality(state: DataFrame, context: float, status: str) -> DataFrame:
+    """Adds context_state, flags (names of the flags that are set) and status."""
+    names = F.array(*(F.when(F.col(c) == 1, F.lit(name)) for c, name in (("missing_glucose", MISSING), ("long_gap", LONG_GAP))))
+    return state.select("*", F.lit(context).alias("context_state"), F.array_compact(names).alias("flags"), F.lit(status).alias("status"))
+
+
+def states(readings: DataFrame, parameters: Parameters = Parameters(), context: float = 0.0, status: str = "not_calibrated") -> DataFrame:
     """State after every row beyond a subject's burn-in (its first ten rows with glucose, which set the baseline);
-    the baseline follows the running mean whenever the count of readings is a multiple of 100.
+    the baseline follows the running mean whenever the count of readings is a multiple of 100. observed is the row's own reading;
+    context and status are those of the start, which nothing changes.
 
     readings: one row per subject and time, without NaN. Subjects with fewer than ten readings have no rows. NULL amounts are 0.
     """
@@ -97,10 +134,10 @@ def states(readings: DataFrame, parameters: Parameters = Parameters()) -> DataFr
     early = known & (F.col("_k") <= BURN_IN)
     rows = rows.select("*", F.max(F.when(known & (F.col("_k") == BURN_IN), F.col("us"))).over(whole).alias("burn_end"), F.sum(F.when(early, F.col("glucose"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_sum"))
     rows = rows.where(F.col("burn_end").isNotNull()).withColumn("burn_mean", F.col("_sum") / float(BURN_IN)).drop("_k", "_sum")
-    return rows.sortWithinPartitions("subject_id", "us").mapInArrow(lambda it: scan(it, parameters), STATE)
+    return with_quality(rows.sortWithinPartitions("subject_id", "us").mapInArrow(lambda it: scan(it, parameters), STATE), context, status)
 
 
-def fitted_states(readings: DataFrame, parameters: Parameters = Parameters()) -> DataFrame:
+def fitted_states(readings: DataFrame, parameters: Parameters = Parameters(), context: float = 0.0, status: str = "not_calibrated") -> DataFrame:
     """State from the end of the burn-in on, with the baseline of the subject's whole history: for a view of its latest
     state, not for features of earlier rows, which would know what came later.
 
@@ -112,7 +149,7 @@ def fitted_states(readings: DataFrame, parameters: Parameters = Parameters()) ->
     rows = rows.where((F.col("_rows") >= 10) & (F.col("_n") >= 3))
     last = F.col("glucose").isNotNull() & (F.col("_k") == F.least(F.lit(BURN_IN), F.col("_n")))
     rows = rows.select("*", F.max(F.when(last, F.col("us"))).over(whole).alias("burn_end"), F.when(F.col("_n") >= BURN_IN, F.col("_mean")).otherwise(F.lit(parameters.baseline)).alias("burn_mean")).drop("_k", "_n", "_rows", "_mean")
-    return rows.sortWithinPartitions("subject_id", "us").mapInArrow(lambda it: scan(it, parameters, None), STATE)
+    return with_quality(rows.sortWithinPartitions("subject_id", "us").mapInArrow(lambda it: scan(it, parameters, None), STATE), context, status)
 
 
 def clamped(value: Column, floor: float = 0.0) -> Column:
@@ -154,18 +191,20 @@ def forecast(df: DataFrame, horizon_minutes: int = 60, parameters: Parameters =
     return df.withColumn("forecast", path(horizon_minutes // STEP_MINUTES, parameters))
 
 
-def twin_features(state: DataFrame, parameters: Parameters = Parameters(), observed: str = "glucose") -> DataFrame:
-    """The eighteen features of a state and its one-hour forecast, all known at the row's time."""
+def twin_features(state: DataFrame, parameters: Parameters = Parameters(), observed: str = "observed") -> DataFrame:
+    """The eighteen features of a state and its one-hour forecast, all known at the row's time. The residual is the
+    column `observed` less the state's glucose, NULL without a reading."""
     d = forecast(state, 60, parameters)
+    flag = lambda name: F.array_contains("flags", name).cast("double")
     g, at = F.col("glucose"), lambda k: F.get("forecast", F.lit(k))
     return d.select(
         "subject_id", "us", g.alias("twin_glucose_current"), F.col("insulin_action").alias("twin_insulin_action"), F.col("insulin_state").alias("twin_insulin_state"),
-        F.col("meal_state").alias("twin_meal_state"), F.lit(0.0).alias("twin_context_state"),
+        F.col("meal_state").alias("twin_meal_state"), F.col("context_state").alias("twin_context_state"),
         *(at(k).alias(f"twin_glucose_t{m}") for m, k in ((5, 0), (15, 2), (30, 5), (60, 11))),
         ((at(5) - g) / 30.0).alias("twin_slope_30m"), ((at(11) - g) / 60.0).alias("twin_slope_60m"),
         *((at(k) - g).alias(f"twin_delta_{m}m") for m, k in ((15, 2), (30, 5), (60, 11))),
-        (F.col(observed) - g).alias("twin_residual_current"), F.col("long_gap").cast("double").alias("twin_has_long_gap"),
-        F.col("missing_glucose").cast("double").alias("twin_has_missing_glucose"), F.lit(0.0).alias("twin_uncertainty_calibrated"),
+        (F.col(observed) - g).alias("twin_residual_current"), flag(LONG_GAP).alias("twin_has_long_gap"),
+        flag(MISSING).alias("twin_has_missing_glucose"), F.coalesce(F.col("status") == CALIBRATED, F.lit(False)).cast("double").alias("twin_uncertainty_calibrated"),
     )
 
 

@@ -102,39 +102,44 @@ scored AS (
   FROM contexts),
 known AS (SELECT * FROM scored WHERE label IS NOT NULL)"""
 
-STATES_SQL = f"""{READINGS_SQL},
+
+
+def _states_sql(fitted: bool) -> str:
+    """CTEs up to twin: the simulator's states, with the running baseline or, if fitted, with that of the whole history from the
+    end of the burn-in on."""
+    more = ", count(glucose) OVER (PARTITION BY subject_id) AS total, avg(glucose) OVER (PARTITION BY subject_id) AS mean" if fitted else ""
+    burns = "least(10, total)" if fitted else "10"
+    mean = "CASE WHEN max(total) >= 10 THEN max(mean) ELSE 110.0 END" if fitted else "list_sum(list(glucose ORDER BY us) FILTER (k <= 10 AND glucose IS NOT NULL)) / 10.0"
+    enough = "max(k) >= 3 AND count(*) >= 10" if fitted else "max(k) >= 10"
+    baseline = "b.burn_mean" if fitted else "coalesce(last_value(CASE WHEN c.us > b.burn_end AND k % 100 = 0 THEN s / k END IGNORE NULLS) OVER (PARTITION BY c.subject_id ORDER BY c.us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b.burn_mean)"
+    return f"""{READINGS_SQL},
 counted AS (
   SELECT subject_id, us, glucose, coalesce(basal_insulin, 0) AS basal, coalesce(bolus_insulin, 0) AS bolus, coalesce(carbohydrates, 0) AS carbs,
-    count(glucose) OVER upto AS k, sum(glucose) OVER upto AS s FROM readings WINDOW {WINDOWS}),
+    count(glucose) OVER upto AS k, sum(glucose) OVER upto AS s{more} FROM readings WINDOW {WINDOWS}),
 burns AS (
-  SELECT subject_id, max(us) FILTER (k = 10 AND glucose IS NOT NULL) AS burn_end, list_sum(list(glucose ORDER BY us) FILTER (k <= 10 AND glucose IS NOT NULL)) / 10.0 AS burn_mean
-  FROM counted GROUP BY subject_id HAVING max(k) >= 10),
+  SELECT subject_id, max(us) FILTER (k = {burns} AND glucose IS NOT NULL) AS burn_end, {mean} AS burn_mean
+  FROM counted GROUP BY subject_id HAVING {enough}),
 inputs AS (
-  SELECT c.*, b.burn_end, b.burn_mean, row_number() OVER (PARTITION BY c.subject_id ORDER BY c.us) AS n,
-    coalesce(last_value(CASE WHEN c.us > b.burn_end AND k % 100 = 0 THEN s / k END IGNORE NULLS) OVER (PARTITION BY c.subject_id ORDER BY c.us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b.burn_mean) AS baseline,
+  SELECT c.*, b.burn_end, b.burn_mean, row_number() OVER (PARTITION BY c.subject_id ORDER BY c.us) AS n, {baseline} AS baseline,
     (c.us - lag(c.us) OVER (PARTITION BY c.subject_id ORDER BY c.us)) / 60000000.0 AS minutes
   FROM counted c JOIN burns b USING (subject_id) WHERE c.us > b.burn_end OR c.glucose IS NOT NULL),
-states(subject_id, us, n, glucose, insulin_action, insulin_state, meal_state, baseline, missing_glucose, long_gap, after_burn) AS (
-  SELECT subject_id, us, n, glucose, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, baseline, 0, 0, false FROM inputs WHERE n = 1
+states(subject_id, us, n, glucose, insulin_action, insulin_state, meal_state, context_state, status, baseline, observed, missing_glucose, long_gap, emitted) AS (
+  SELECT subject_id, us, n, glucose, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 'not_calibrated', baseline, glucose, 0, 0, false FROM inputs WHERE n = 1
   UNION ALL
   SELECT i.subject_id, i.us, i.n,
     coalesce(i.glucose, greatest(10.0, s.glucose + 0.05 * (i.baseline - s.glucose) + 2.0 * (0.05 * s.meal_state) - 1.0 * s.insulin_action)),
     greatest(0.0, s.insulin_action - 0.1 * s.insulin_action + 0.1 * s.insulin_state),
     greatest(0.0, s.insulin_state - 0.1 * s.insulin_state + (i.bolus + i.basal * (i.minutes / 60.0))),
-    greatest(0.0, s.meal_state - 0.05 * s.meal_state + i.carbs),
-    i.baseline, CAST(i.glucose IS NULL AS INTEGER), CAST(i.minutes > 15 AS INTEGER), i.us > i.burn_end
+    greatest(0.0, s.meal_state - 0.05 * s.meal_state + i.carbs), s.context_state, s.status,
+    i.baseline, i.glucose, CAST(i.glucose IS NULL AS INTEGER), CAST(i.minutes > 15 AND i.us > i.burn_end AS INTEGER), i.us {'>=' if fitted else '>'} i.burn_end
   FROM states s JOIN inputs i ON i.subject_id = s.subject_id AND i.n = s.n + 1),
-twin AS (SELECT * EXCLUDE (n, after_burn) FROM states WHERE after_burn)"""
-
-#: The same with the baseline of the whole history, from the end of the burn-in on.
-FITTED_SQL = (
-    STATES_SQL.replace("sum(glucose) OVER upto AS s FROM", "sum(glucose) OVER upto AS s, count(glucose) OVER (PARTITION BY subject_id) AS total, avg(glucose) OVER (PARTITION BY subject_id) AS mean FROM")
-    .replace("FILTER (k = 10 AND glucose IS NOT NULL)", "FILTER (k = least(10, total) AND glucose IS NOT NULL)")
-    .replace("list_sum(list(glucose ORDER BY us) FILTER (k <= 10 AND glucose IS NOT NULL)) / 10.0 AS burn_mean", "CASE WHEN max(total) >= 10 THEN max(mean) ELSE 110.0 END AS burn_mean")
-    .replace("HAVING max(k) >= 10", "HAVING max(k) >= 3 AND count(*) >= 10")
-    .replace("CASE WHEN c.us > b.burn_end AND k % 100 = 0 THEN s / k END", "CAST(NULL AS DOUBLE)")
-    .replace("CAST(i.minutes > 15 AS INTEGER), i.us > i.burn_end", "CASE WHEN i.us > i.burn_end AND i.minutes > 15 THEN 1 ELSE 0 END, i.us >= i.burn_end")
-)
+twin AS (
+  SELECT * EXCLUDE (n, emitted), list_filter(['MISSING_GLUCOSE', 'LONG_GAP'], f -> (f = 'MISSING_GLUCOSE' AND missing_glucose = 1) OR (f = 'LONG_GAP' AND long_gap = 1)) AS flags
+  FROM states WHERE emitted)"""
+
+
+STATES_SQL = _states_sql(fitted=False)
+FITTED_SQL = _states_sql(fitted=True)
 
 
 def paths_sql(source: str, carbs: str = "0.0", bolus: str = "0.0", name: str = "paths", steps: int = 12) -> str:

@@ -106,7 +106,7 @@ def bootstrap_uncertainty(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "twin_states": lambda s, d: rounded(twin_states(s, d)),
+    "twin_states": lambda s, d: rounded(twin_states(s, d).withColumn("flags", F.array_join("flags", ","))),
     "twin_forecast": forecast_rows,
     "twin_features": lambda s, d: rounded(twin.twin_features(twin_states(s, d))),
     "latest_inference": latest_inference,
@@ -148,10 +148,10 @@ FROM (SELECT g{m} - {observed.format(m=m)} AS e FROM wide w JOIN readings r ON r
     return f"WITH RECURSIVE {STATES_SQL}, {_FEATURES} {one(30)} UNION ALL {one(60)}"
 
 
-_TWIN_COLUMNS = """round(t.glucose, 6) AS twin_glucose_current, round(insulin_action, 6) AS twin_insulin_action, round(insulin_state, 6) AS twin_insulin_state, round(meal_state, 6) AS twin_meal_state, 0.0::DOUBLE AS twin_context_state,
+_TWIN_COLUMNS = """round(t.glucose, 6) AS twin_glucose_current, round(insulin_action, 6) AS twin_insulin_action, round(insulin_state, 6) AS twin_insulin_state, round(meal_state, 6) AS twin_meal_state, context_state AS twin_context_state,
   round(g5, 6) AS twin_glucose_t5, round(g15, 6) AS twin_glucose_t15, round(g30, 6) AS twin_glucose_t30, round(g60, 6) AS twin_glucose_t60, round((g30 - t.glucose) / 30, 6) AS twin_slope_30m, round((g60 - t.glucose) / 60, 6) AS twin_slope_60m,
-  round(g15 - t.glucose, 6) AS twin_delta_15m, round(g30 - t.glucose, 6) AS twin_delta_30m, round(g60 - t.glucose, 6) AS twin_delta_60m, 0.0::DOUBLE AS twin_residual_current,
-  long_gap::DOUBLE AS twin_has_long_gap, missing_glucose::DOUBLE AS twin_has_missing_glucose, 0.0::DOUBLE AS twin_uncertainty_calibrated"""
+  round(g15 - t.glucose, 6) AS twin_delta_15m, round(g30 - t.glucose, 6) AS twin_delta_30m, round(g60 - t.glucose, 6) AS twin_delta_60m, round(observed - t.glucose, 6) AS twin_residual_current,
+  list_contains(flags, 'LONG_GAP')::INTEGER::DOUBLE AS twin_has_long_gap, list_contains(flags, 'MISSING_GLUCOSE')::INTEGER::DOUBLE AS twin_has_missing_glucose, (status = 'calibrated')::INTEGER::DOUBLE AS twin_uncertainty_calibrated"""
 
 _HYBRID = f"""WITH RECURSIVE {STATES_SQL}{CURRENT_SQL[len(READINGS_SQL):]}, {_FEATURES},
 base AS (
@@ -165,7 +165,7 @@ FROM labels b LEFT JOIN twins USING (subject_id, us) WHERE label IS NOT NULL"""
 
 SQL = {
     "hybrid_matrix": _HYBRID,
-    "twin_states": f"WITH RECURSIVE {STATES_SQL} SELECT subject_id, us, round(glucose, 6) AS glucose, round(insulin_action, 6) AS insulin_action, round(insulin_state, 6) AS insulin_state, round(meal_state, 6) AS meal_state, round(baseline, 6) AS baseline, missing_glucose, long_gap FROM twin",
+    "twin_states": f"WITH RECURSIVE {STATES_SQL} SELECT subject_id, us, round(glucose, 6) AS glucose, round(insulin_action, 6) AS insulin_action, round(insulin_state, 6) AS insulin_state, round(meal_state, 6) AS meal_state, round(baseline, 6) AS baseline, round(observed, 6) AS observed, missing_glucose, long_gap, context_state, array_to_string(flags, ',') AS flags, status FROM twin",
     "twin_forecast": f"WITH RECURSIVE {STATES_SQL}, {_LATEST}, starts AS ({_PLAIN.format('latest')}), {paths_sql('starts')} SELECT subject_id, us, CAST(k * 5 AS INTEGER) AS offset_minutes, round(g, 6) AS simulated FROM paths WHERE k > 0",
     "twin_features": f"WITH RECURSIVE {STATES_SQL}, {_FEATURES} SELECT t.subject_id, t.us, {_TWIN_COLUMNS} FROM twin t JOIN wide USING (subject_id, us)",
     "latest_inference": f"""WITH RECURSIVE {FITTED_SQL}, {_LATEST}, starts AS ({_PLAIN.format('latest')}),

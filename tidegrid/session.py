@@ -28,12 +28,14 @@ def value_or_null(column: str | Column) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names in
-    spark.checkpoint.dir; a folder of our own is set only where that is unset (tests)."""
+    """Cut the lineage with a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir. Only a local
+    master gets a folder of its own where that is unset (tests); elsewhere that is a RuntimeError."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir")
+        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidegrid-checkpoint-"))
     return df.checkpoint(eager=True)
 

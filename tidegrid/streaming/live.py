@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidegrid import schema
-from tidegrid.operators.twin import Parameters, step
+from tidegrid.operators.twin import Parameters, State, update
 
 
 def slots(records: DataFrame, late: str = "15 minutes") -> DataFrame:
@@ -22,8 +21,8 @@ def slots(records: DataFrame, late: str = "15 minutes") -> DataFrame:
     return d.select("subject_id", F.unix_micros("window.start").alias("us"), "glucose", "basal_insulin", "bolus_insulin", "carbohydrates")
 
 
-STATE = "glucose double, insulin_action double, insulin_state double, meal_state double, us bigint"
-OUTPUT = "subject_id string, us bigint, glucose double, insulin_action double, insulin_state double, meal_state double"
+STATE = "us bigint, glucose double, insulin_action double, insulin_state double, meal_state double"
+OUTPUT = "subject_id string, us bigint, glucose double, insulin_action double, insulin_state double, meal_state double, flags array<string>"
 
 
 def live_states(readings: DataFrame, parameters: Parameters = Parameters()) -> DataFrame:
@@ -31,7 +30,7 @@ def live_states(readings: DataFrame, parameters: Parameters = Parameters()) -> D
     the subject's state is dropped; a subject starts with its first glucose."""
 
     def advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else None
+        now = State(*state.get) if state.exists else None
         out = []
         rows = pd.concat(list(parts)).sort_values("us")
         value = lambda v: None if pd.isna(v) else float(v)
@@ -40,15 +39,14 @@ def live_states(readings: DataFrame, parameters: Parameters = Parameters()) -> D
             if now is None:
                 if glucose is None:
                     continue
-                now = (glucose, 0.0, 0.0, 0.0, int(r.us))
-            elif r.us <= now[4]:
+                now = State(int(r.us), glucose)
+            elif r.us <= now.us:
                 continue
             else:
-                minutes = (r.us - now[4]) / schema.MINUTE_US
-                now = (*step(now[:4], glucose, value(r.carbohydrates) or 0.0, value(r.bolus_insulin) or 0.0, value(r.basal_insulin) or 0.0, minutes, parameters.baseline, parameters), int(r.us))
-            out.append((key[0], now[4], *now[:4]))
+                now = update(now, int(r.us), glucose, value(r.carbohydrates), value(r.bolus_insulin), value(r.basal_insulin), p=parameters)
+            out.append((key[0], now.us, now.glucose, now.insulin_action, now.insulin_state, now.meal_state, list(now.flags)))
         if now is not None:
-            state.update(now)
+            state.update((now.us, now.glucose, now.insulin_action, now.insulin_state, now.meal_state))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in OUTPUT.split(", ")])
 
     return readings.groupBy("subject_id").applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
