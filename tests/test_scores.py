@@ -60,7 +60,10 @@ def test_single_class_and_empty(spark):
     assert metrics.roc_auc(one).first().roc_auc is None and metrics.average_precision(one).first().pr_auc is None
     assert metrics.brier(one, single_class=False).first().brier is None
     none = one.limit(0)
-    assert metrics.roc_auc(none).first().roc_auc is None and metrics.confusion(none).first().f1 == 0
+    assert metrics.roc_auc(none).first().roc_auc is None and metrics.confusion(none).first().f1 is None and metrics.confusion(none, single_class=True).first().f1 == 0
+    row = metrics.confusion(one).first()
+    assert (row.tp, row.precision, row.recall, row.specificity, row.balanced_accuracy, row.prevalence) == (2, None, None, None, None, 1.0)
+    assert metrics.threshold_sweep(one, [0.3, 0.6]).count() == 0 and metrics.threshold_sweep(one, [0.3, 0.6], single_class=True).count() == 2
     assert metrics.reliability(none).count() == 0
 
 
@@ -71,11 +74,31 @@ def test_bins(spark):
 
 
 def test_forecast_error(spark):
-    d = spark.createDataFrame(list(zip([110.0, 108.0, 105.0, 100.0, 95.0, 90.0, None, float("nan")], [112.0, 109.0, 106.0, 101.0, 96.0, 91.0, 1.0, 1.0])), "p double, o double")
+    d = spark.createDataFrame(list(zip([120.0, 99.0, 101.5, 88.0, 93.0, 140.0, None, float("nan")], [118.0, 102.0, 101.0, 92.0, 93.0, 137.0, 1.0, 1.0])), "p double, o double")
     row = metrics.forecast_error(d, "p", "o").first()
-    assert row.n_valid == 6 and row.mae == pytest.approx(7 / 6) and row.bias == pytest.approx(-7 / 6)
+    assert row.n_valid == 6 and row.mae == pytest.approx(12.5 / 6) and row.bias == pytest.approx(-1.5 / 6) and row.median_ae == 2.5
     empty = metrics.forecast_error(d.limit(0), "p", "o").first()
-    assert empty.n_valid == 0 and empty.mae is None
+    assert empty.n_valid == 0 and empty.mae is None and empty.median_ae is None
+
+
+def test_median_is_exact(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", float(v)) for v in rng.normal(0, 1, 5001)] + [("b", float(v)) for v in rng.integers(0, 3, 4000)] + [("c", 1.0), ("d", None), ("e", 4.0), ("e", 5.0)]
+    d = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r["median"] for r in metrics.median(d, "v", ["g"]).collect()}
+    want = {g: float(np.median([v for k, v in rows if k == g and v is not None])) for g in "abce"}
+    assert got == want and metrics.median(d, "v").first()["median"] == float(np.median([v for _, v in rows if v is not None]))
+
+
+def test_buckets_of_scores_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    y, s = rng.integers(0, 2, 3000), np.round(rng.beta(0.3, 3, 3000), 3)
+    d = spark.createDataFrame(list(zip(y.tolist(), s.tolist(), ["a", "b", "b"] * 1000)), "label int, score double, g string")
+    result = lambda: [sorted(map(tuple, f(d, k).collect())) for f in (metrics.roc_auc, metrics.average_precision) for k in ((), ("g",))]
+    whole = result()
+    monkeypatch.setattr(metrics, "BUCKET_SCORES", 7)
+    for a, b in zip(whole, result()):
+        assert [x[:-1] for x in a] == [x[:-1] for x in b] and [x[-1] for x in a] == pytest.approx([x[-1] for x in b], abs=1e-12)
 
 
 def test_models(spark):

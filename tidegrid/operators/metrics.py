@@ -6,18 +6,20 @@ Rank metrics first aggregate by distinct score, so that what is sorted is the di
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid import schema
+from tidegrid.session import checkpointed, with_row
 
-
-#: Ordered buckets of scores for running sums.
-BUCKETS = 4096
+#: Most ordered buckets of scores for running sums, and distinct scores of one on average.
+BUCKETS, BUCKET_SCORES = 4096, 16_384
+#: Accuracy of the quantiles that bracket a median.
+ACCURACY = 10_000
 
 
 def known(df: DataFrame) -> DataFrame:
@@ -28,14 +30,22 @@ def ratio(a: Column, b: Column, empty: Column | None = None) -> Column:
     return F.when(b > 0, a / b).otherwise(empty if empty is not None else F.lit(0.0))
 
 
-def confusion(df: DataFrame, threshold: float | str = 0.5, keys: Sequence[str] = ()) -> DataFrame:
-    """Confusion counts and what follows from them; shares with an empty denominator are 0."""
+def shares(d: DataFrame, single_class: bool) -> DataFrame:
+    """Adds what follows from the counts tp, tn, fp, fn; a share with an empty denominator is 0. Where the labels have one class only,
+    all but the prevalence are NULL unless single_class."""
+    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
+    told = F.lit(True) if single_class else (tp + fn > 0) & (tn + fp > 0)
+    d = d.select("*", *(F.when(told, x).alias(name) for x, name in ((ratio(tp, tp + fp), "precision"), (ratio(tp, tp + fn), "recall"), (ratio(2 * tp, 2 * tp + fp + fn), "f1"), (ratio(tn, tn + fp), "specificity"))))
+    return d.withColumn("balanced_accuracy", (F.col("recall") + F.col("specificity")) / 2)
+
+
+def confusion(df: DataFrame, threshold: float | str = 0.5, keys: Sequence[str] = (), single_class: bool = False) -> DataFrame:
+    """Confusion counts and what follows from them: precision, recall, f1, specificity, balanced_accuracy (see shares) and prevalence."""
     cut = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
     y, p = F.col("label") == 1, F.col("score") >= cut
     d = known(df).groupBy(*keys).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"))
-    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
-    d = d.select("*", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tn, tn + fp).alias("specificity"), ratio(tp + fn, tp + tn + fp + fn).alias("prevalence"))
-    return d.withColumn("balanced_accuracy", (F.col("recall") + F.col("specificity")) / 2)
+    positive = F.col("tp") + F.col("fn")
+    return shares(d, single_class).withColumn("prevalence", ratio(positive, positive + F.col("tn") + F.col("fp")))
 
 
 def by_score(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -45,11 +55,17 @@ def by_score(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def running(d: DataFrame, keys: Sequence[str], descending: bool = False) -> DataFrame:
     """Adds n_before and p_before: rows and positives of the scores before each (lower, or higher if descending).
 
-    Scores fall into at most BUCKETS ordered buckets; running sums inside a bucket and of the buckets' totals
-    add up, so no task sorts all scores of a group.
+    Scores fall into at most BUCKETS ordered buckets between approximate quantiles of the distinct scores; running sums inside a bucket and of
+    the buckets' totals add up, so no task sorts all scores of a group. d (see by_score) is read several times.
     """
-    bucket = F.floor(F.lit(BUCKETS) * (F.atan("score") / F.lit(math.pi) + 0.5)).cast("int")
-    d = d.withColumn("bucket", -bucket if descending else bucket)
+    wanted = min(BUCKETS, d.count() // BUCKET_SCORES + 1)
+    borders = d.agg(F.percentile_approx("score", F.array(*(F.lit(i / wanted) for i in range(1, wanted))), F.lit(4 * BUCKETS)).alias("b")).first()["b"] if wanted > 1 else []
+    splits = [-float("inf"), *sorted({float(b) for b in borders or [] if abs(b) != float("inf")}), float("inf")]
+    if len(splits) > 2:
+        d = Bucketizer(splits=splits, inputCol="score", outputCol="bucket", handleInvalid="keep").transform(d).withColumn("bucket", F.col("bucket").cast("int"))
+    else:
+        d = d.withColumn("bucket", F.lit(0))
+    d = d.withColumn("bucket", -F.col("bucket") if descending else F.col("bucket"))
     order = F.desc("score") if descending else F.asc("score")
     inside = Window.partitionBy(*keys, "bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     totals = d.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
@@ -65,7 +81,7 @@ def running(d: DataFrame, keys: Sequence[str], descending: bool = False) -> Data
 
 def roc_auc(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """roc_auc by rank sums with ties averaged; NULL with a single class. Rows with a NULL key are left out."""
-    return roc_of(by_score(df, keys), keys)
+    return roc_of(checkpointed(by_score(df, keys)), keys)
 
 
 def roc_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -77,7 +93,7 @@ def roc_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def average_precision(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """pr_auc: precision at every distinct score, weighted by the recall gained there; NULL with a single class."""
-    return precision_of(by_score(df, keys), keys)
+    return precision_of(checkpointed(by_score(df, keys)), keys)
 
 
 def precision_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -94,22 +110,21 @@ def brier(df: DataFrame, keys: Sequence[str] = (), single_class: bool = True) ->
     return known(df).groupBy(*keys).agg((value if single_class else F.when(both, value)).alias("brier"))
 
 
-def threshold_sweep(df: DataFrame, thresholds: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """Confusion metrics at each threshold. Rows are first counted by score, so the list of thresholds
-    meets the distinct scores only."""
+def threshold_sweep(df: DataFrame, thresholds: Sequence[float], keys: Sequence[str] = (), single_class: bool = False) -> DataFrame:
+    """Confusion counts and metrics at each threshold; no rows where the labels have one class only, unless single_class. Rows are
+    first counted by score, so the list of thresholds meets the distinct scores only."""
     counts = by_score(df, keys).withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
     hit = F.col("score") >= F.col("threshold")
     pos, neg = F.col("p"), F.col("n") - F.col("p")
     total = lambda w, c: F.sum(F.when(w, c).otherwise(0))
     d = counts.groupBy(*keys, "threshold").agg(total(hit, pos).alias("tp"), total(~hit, neg).alias("tn"), total(hit, neg).alias("fp"), total(~hit, pos).alias("fn"))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return d.select("*", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    return shares(d, single_class).where(F.col("f1").isNotNull())
 
 
 def best_f1_threshold(df: DataFrame, n: int = 50, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(best_threshold, best_f1): the lowest of n even thresholds with the largest F1; 0.5 if every F1 is 0."""
     grid = [low + (high - low) * i / (n - 1) for i in range(n)]
-    best = threshold_sweep(df, grid).agg(F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("t"), F.max("f1").alias("f"))
+    best = threshold_sweep(df, grid, single_class=True).agg(F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("t"), F.max("f1").alias("f"))
     return best.select(F.when(F.col("f") > 0, F.col("t")).otherwise(F.lit(0.5)).alias("best_threshold"), F.coalesce("f", F.lit(0.0)).alias("best_f1"))
 
 
@@ -122,7 +137,7 @@ def reliability(df: DataFrame, n_bins: int = 10) -> DataFrame:
 def subject_metrics(df: DataFrame, threshold: float = 0.5, key: str = "subject_id") -> DataFrame:
     """Per subject: windows, positives and negatives, rank metrics (NULL with a single class), recall (NULL without positives), precision,
     F1 and Brier score."""
-    counts = by_score(df, [key])  # what follows only sees distinct scores
+    counts = checkpointed(by_score(df, [key]))  # what follows only sees distinct scores
     hit, pos, neg = F.col("score") >= threshold, F.col("p"), F.col("n") - F.col("p")
     d = counts.groupBy(key).agg(
         F.sum("n").alias("windows"), F.sum(pos).alias("positives"), F.sum(neg).alias("negatives"),
@@ -185,10 +200,32 @@ def persistence(low: float = schema.LOW) -> Column:
 
 
 def forecast_error(df: DataFrame, predicted: str, observed: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(n_valid, mae, rmse, median_ae, bias) over the pairs without NULL or NaN, by the keys."""
+    """(n_valid, mae, rmse, median_ae, bias) over the pairs without NULL or NaN, by the keys (without NULL)."""
     p, o = F.col(predicted), F.col(observed)
-    e = F.when(~F.isnan(p) & ~F.isnan(o), p - o)
-    return df.groupBy(*keys).agg(F.count(e).alias("n_valid"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.median(F.abs(e)).alias("median_ae"), F.avg(e).alias("bias"))
+    e = checkpointed(df.select(*keys, F.when(~F.isnan(p) & ~F.isnan(o), p - o).alias("e")))
+    size = F.abs("e")
+    d = e.groupBy(*keys).agg(F.count("e").alias("n_valid"), F.avg(size).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("bias"))
+    middle = median(e.select(*keys, size.alias("size")), "size", keys)
+    d = d.join(middle, list(keys), "left") if keys else with_row(d, middle)
+    return d.select(*keys, "n_valid", "mae", "rmse", F.col("median").alias("median_ae"), "bias")
+
+
+def median(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, median) without NULL values: exact, interpolated between two middle ones. df is read twice.
+
+    Approximate quantiles bracket the median, so that only about 1 in 1,000 rows, counted by value, meet in the window of a key.
+    """
+    df = df.where(F.col(value).isNotNull())
+    beside = [F.lit(0.5 - 3 / ACCURACY), F.lit(0.5 + 3 / ACCURACY)]
+    around = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*beside), F.lit(ACCURACY)).alias("_q"), F.count("*").alias("_n"))
+    around = around.select(*keys, F.col("_q")[0].alias("_low"), F.col("_q")[1].alias("_high"), "_n")
+    d = df.join(around, list(keys)) if keys else with_row(df, around)
+    place = F.when(F.col(value) >= F.col("_low"), F.col(value))  # what lies below counts together
+    d = d.where(F.col(value) <= F.col("_high")).groupBy(*keys, "_n", place.alias("_v")).agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("_upto", upto)
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    return d.groupBy(*keys).agg(((at(F.floor((F.col("_n") - 1) / 2)) + at(F.ceil((F.col("_n") - 1) / 2))) / 2).alias("median"))
 
 
 def ensemble_stats(df: DataFrame, key: Sequence[str], score: str = "score") -> DataFrame:

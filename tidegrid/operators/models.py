@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import metrics
 from tidegrid.operators.splits import resampled
+from tidegrid.session import with_row
 
 #: Feature names of the three configurations (those a frame lacks are skipped).
 BASELINE = (
@@ -89,9 +90,9 @@ def scored(model, df: DataFrame) -> DataFrame:
 
 def evaluate(df: DataFrame, threshold: float) -> DataFrame:
     """One row of metrics of scored rows."""
-    d = metrics.confusion(df, threshold).select("tp", "tn", "fp", "fn", "precision", "recall", "f1")
+    d = metrics.confusion(df, threshold, single_class=True).select("tp", "tn", "fp", "fn", "precision", "recall", "f1")
     for other in (metrics.roc_auc(df), metrics.average_precision(df), metrics.brier(df)):
-        d = d.join(other, F.lit(True))
+        d = with_row(d, other)
     return d
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid import schema
-from tidegrid.session import micros, value_or_null
+from tidegrid.session import micros, value_or_null, with_row
 
 HOUR_US = 3_600_000_000
 
@@ -36,7 +36,7 @@ def cohort_stats(manifest: DataFrame, **bounds) -> DataFrame:
     days = F.col("duration_hours") / 24.0
     every = manifest.agg(F.count("*").alias("n_subjects"), F.min(days).alias("min_days"), F.median(days).alias("median_days"), F.max(days).alias("max_days"))
     middle = core(manifest, **bounds).agg(F.count("*").alias("n_core"), F.median(days).alias("core_median_days"), F.median("cgm_rows").alias("core_median_cgm_rows"))
-    return every.join(middle, F.lit(True))
+    return with_row(every, middle)
 
 
 def glucose_profile(df: DataFrame) -> DataFrame:

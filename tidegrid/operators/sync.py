@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid import schema
 from tidegrid.chunks import chunked
+from tidegrid.session import with_row
 
 
 def floored(us: str = "us", slot_us: int = schema.SLOT_US) -> Column:
@@ -73,7 +74,7 @@ def validity(records: DataFrame) -> DataFrame:
     found = validation(records).agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("n_warnings"))
     subjects = records.agg(F.countDistinct("subject_id").alias("n_subjects"))
     errors = F.col("e") + F.when(F.col("n_subjects") > 1, 1).otherwise(0)
-    return subjects.join(found, F.lit(True)).select("n_subjects", errors.alias("n_errors"), "n_warnings", (errors == 0).alias("valid"))
+    return with_row(subjects, found).select("n_subjects", errors.alias("n_errors"), "n_warnings", (errors == 0).alias("valid"))
 
 
 def stream_report(records: DataFrame) -> DataFrame:

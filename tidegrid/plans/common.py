@@ -134,7 +134,7 @@ states(subject_id, us, n, glucose, insulin_action, insulin_state, meal_state, co
     i.baseline, i.glucose, CAST(i.glucose IS NULL AS INTEGER), CAST(i.minutes > 15 AND i.us > i.burn_end AS INTEGER), i.us {'>=' if fitted else '>'} i.burn_end
   FROM states s JOIN inputs i ON i.subject_id = s.subject_id AND i.n = s.n + 1),
 twin AS (
-  SELECT * EXCLUDE (n, emitted), list_filter(['MISSING_GLUCOSE', 'LONG_GAP'], f -> (f = 'MISSING_GLUCOSE' AND missing_glucose = 1) OR (f = 'LONG_GAP' AND long_gap = 1)) AS flags
+  SELECT * EXCLUDE (n, emitted), list_concat(CASE WHEN missing_glucose = 1 THEN ['MISSING_GLUCOSE'] ELSE CAST([] AS VARCHAR[]) END, CASE WHEN long_gap = 1 THEN ['LONG_GAP'] ELSE CAST([] AS VARCHAR[]) END) AS flags
   FROM states WHERE emitted)"""
 
 

@@ -81,7 +81,7 @@ SQL = {
     "roc_auc": f"WITH {SCORED_SQL} SELECT round(roc_auc, 9) AS roc_auc FROM {_AUC.format(key='0')}",
     "average_precision": f"WITH {SCORED_SQL} SELECT round(pr_auc, 9) AS pr_auc FROM {_AP.format(key='0')}",
     "brier": f"WITH {SCORED_SQL} SELECT round(avg((score - label) * (score - label)), 9) AS brier FROM known",
-    "threshold_sweep": f"WITH {SCORED_SQL}, thresholds(t) AS (SELECT unnest([{', '.join(map(str, THRESHOLDS))}]::DOUBLE[])) " + _round("precision recall f1", f"SELECT *, {_PRECISION} AS precision, {_RECALL} AS recall, {_F1} AS f1 FROM ({_SWEEP})", keep="threshold, tp, tn, fp, fn"),
+    "threshold_sweep": f"WITH {SCORED_SQL}, thresholds(t) AS (SELECT unnest([{', '.join(map(str, THRESHOLDS))}]::DOUBLE[])) " + _round("precision recall f1 specificity balanced_accuracy", f"SELECT *, {_PRECISION} AS precision, {_RECALL} AS recall, {_F1} AS f1, {_share('tn', 'tn + fp')} AS specificity, ({_RECALL} + {_share('tn', 'tn + fp')}) / 2 AS balanced_accuracy FROM ({_SWEEP}) WHERE tp + fn > 0 AND tn + fp > 0", keep="threshold, tp, tn, fp, fn"),
     "best_f1_threshold": f"WITH {SCORED_SQL}, thresholds(t) AS (SELECT 0.05::DOUBLE + 0.9::DOUBLE * i / 49 FROM range(50) r(i)), f AS (SELECT threshold, {_F1} AS f1 FROM ({_SWEEP}))"
     " SELECT round(CASE WHEN (SELECT max(f1) FROM f) > 0 THEN (SELECT min(threshold) FROM f WHERE f1 = (SELECT max(f1) FROM f)) ELSE 0.5 END, 9) AS best_threshold, (SELECT round(max(f1), 9) FROM f) AS best_f1",
     "calibration_curve": f"WITH {SCORED_SQL} SELECT {' + '.join(f'CAST(score > {i}::DOUBLE / 10 AS INTEGER)' for i in range(1, 10))} AS bin, count(*) AS n, round(avg(score), 9) AS mean_score, round(avg(label), 9) AS share_positive FROM known GROUP BY 1",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegrid import schema
 from tidegrid.operators import features, joins, metrics, models, profile, splits, twin
 from tidegrid.plans.common import CURRENT_SQL, FITTED_SQL, READINGS_SQL, STATES_SQL, WINDOWS, lag_sql, paths_sql, readings, rounded, twin_states
+from tidegrid.session import checkpointed
 
 SCENARIOS = [twin.meal(50.0, 15.0), twin.insulin(2.0, 10.0)]
 GRID = [twin.meal(float(grams), 10.0) for grams in (20, 40, 60)] + [twin.insulin(float(units), 20.0) for units in (1, 3)]
@@ -20,8 +21,8 @@ def forecast_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def latest_inference(spark: SparkSession, folder: str) -> DataFrame:
     """Per subject the latest state under the baseline of its history, the simulator's features there, and the quality of the data."""
-    rows = readings(spark, folder)
-    now = twin.latest(twin.fitted_states(rows))
+    rows = checkpointed(readings(spark, folder))
+    now = checkpointed(twin.latest(twin.fitted_states(rows)))  # one row a subject
     d = twin.twin_features(now).join(now.select("subject_id", "baseline"), "subject_id").join(profile.quality(rows).select("subject_id", "n_records", "cgm_availability_pct", "n_gaps_over_10m"), "subject_id")
     digits = {"baseline": 9}
     return d.select(*(F.round(c, digits.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes))
@@ -37,27 +38,29 @@ def _what_if(scenarios: list[twin.Scenario]):
 
 def forecast_error_parity(spark: SparkSession, folder: str) -> DataFrame:
     """Errors of the half-hour and one-hour forecasts against the reading at the row's own time."""
-    return _errors(spark, folder, lambda minutes: F.col("observed_now"))
+    return _errors(spark, folder, lambda minutes: F.col("observed"))
 
 
 def forecast_error_strict(spark: SparkSession, folder: str) -> DataFrame:
     """Errors against the reading exactly at the forecast's time, where there is one."""
     w = features.by_time()
-    return _errors(spark, folder, lambda minutes: F.first("observed_now").over(w.rangeBetween(minutes * schema.MINUTE_US, minutes * schema.MINUTE_US)))
+    return _errors(spark, folder, lambda minutes: F.first("observed").over(w.rangeBetween(minutes * schema.MINUTE_US, minutes * schema.MINUTE_US)))
 
 
 def _errors(spark: SparkSession, folder: str, observed) -> DataFrame:
-    seen = readings(spark, folder).select("subject_id", "us", F.col("glucose").alias("observed_now"))
-    d = twin.twin_features(twin_states(spark, folder)).select("subject_id", "us", "twin_glucose_t30", "twin_glucose_t60")
-    d = seen.join(d, ["subject_id", "us"], "left").select("*", observed(30).alias("o30"), observed(60).alias("o60"))
-    both = F.array(*(F.struct(F.lit(m).cast("bigint").alias("horizon"), F.col(f"twin_glucose_t{m}").alias("predicted"), F.col(f"o{m}").alias("observed")) for m in (30, 60)))
+    # every row after a burn-in has a state, so the readings to compare with are among the states' own
+    d = twin_states(spark, folder).select("*", observed(30).alias("o30"), observed(60).alias("o60"))
+    at = lambda m: F.get("forecast", F.lit(m // twin.STEP_MINUTES - 1))
+    both = F.array(*(F.struct(F.lit(m).cast("bigint").alias("horizon"), at(m).alias("predicted"), F.col(f"o{m}").alias("observed")) for m in (30, 60)))
+    d = twin.forecast(d)
     return rounded(metrics.forecast_error(d.select(F.inline(both)), "predicted", "observed", ["horizon"]))
 
 
 def hybrid_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Features and labels joined with the simulator's features, with a split by subject."""
-    df = features.with_labels(features.baseline_features(features.context_features(features.glucose_features(readings(spark, folder)))))
-    df = joins.with_features(df, twin.twin_features(twin_states(spark, folder)))
+    rows = checkpointed(readings(spark, folder))  # features and simulator share the slots
+    df = features.with_labels(features.baseline_features(features.context_features(features.glucose_features(rows))))
+    df = joins.with_features(df, twin.twin_features(twin.states(rows)))
     return splits.positional(df)
 
 
@@ -71,13 +74,13 @@ def hybrid_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_abc(spark: SparkSession, folder: str) -> DataFrame:
-    return models.compared(hybrid_frame(spark, folder).persist(), "future_hypoglycemia_30m")
+    return models.compared(checkpointed(hybrid_frame(spark, folder)), "future_hypoglycemia_30m")
 
 
 def _rows(spark: SparkSession, folder: str) -> tuple[list[str], DataFrame]:
     df = hybrid_frame(spark, folder)
     names = models.features_of(df, "hybrid")
-    return names, models.prepared(df, names, "future_hypoglycemia_30m").persist()
+    return names, checkpointed(models.prepared(df, names, "future_hypoglycemia_30m"))
 
 
 def _model(spark: SparkSession, folder: str) -> tuple[object, list[str], DataFrame]:

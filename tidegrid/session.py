@@ -45,3 +45,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     The count stops early; beyond the bound the frame is returned unhinted."""
     small = df.limit(max_rows + 1).count() <= max_rows
     return (F.broadcast(df), True) if small else (df, False)
+
+
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """df with the columns of a frame of one row (a total, say), joined on a constant."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one").drop("_one")
