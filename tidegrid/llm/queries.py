@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import leaks, nearest, packing, reading, splits, tokens
-from tidegrid.session import checkpointed, micros, table, value_or_null
+from tidegrid.session import checkpointed, micros, table, value_or_null, with_row
 
 TOLERANCE_US = 600_000_000
 STREAMS = {
@@ -42,7 +42,7 @@ def p5_totals(spark: SparkSession, folder: str) -> DataFrame:
     total = sizes.agg(F.sum("rows").alias("n_rows"))
     want = F.create_map(*(F.lit(x) for pair in zip(splits.SPLITS, splits.PROPORTIONS) for x in pair))
     near = F.abs(F.col("rows") / F.col("n_rows") - F.element_at(want, F.col("split"))) < 0.01
-    return sizes.join(F.broadcast(total)).select("split", "n_rows", near.alias("near")).join(F.broadcast(torn))
+    return with_row(with_row(sizes, total).select("split", "n_rows", near.alias("near")), torn)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +69,7 @@ def p6_totals(spark: SparkSession, folder: str) -> DataFrame:
     full = load.agg(F.count(F.when(F.col("load") > packing.CAPACITY, 1)).alias("n_overfull"), (F.sum("load") >= 0.98 * packing.CAPACITY * (F.count("*") - groups)).alias("full"))
     each = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("n_pieces").alias("pieces"))
     documents = each.agg(F.count("*").alias("n_documents"), F.count(F.when(F.col("n") == 0, 1)).alias("n_empty"), F.count(F.when(F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("n") / packing.CAPACITY)), 1)).alias("n_cut_without_need"))
-    return documents.join(F.broadcast(full))
+    return with_row(documents, full)
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
