@@ -7,7 +7,7 @@ from tests.helpers import START_US, readings
 from tidegrid import schema
 from tidegrid.operators import features, joins, profile, splits, sync
 from tidegrid.sources import adapters, generated, parquet, sinks, xml
-from tidegrid.plans.records import XML_SAMPLE
+from tidegrid.plans.stores import XML_SAMPLE
 
 MIN = 60_000_000
 GAPPY = [(0, 100), (5, 98), (10, None), (15, None), (20, None), (25, 80), (30, 79), (35, 60), (215, 55), (220, 120), (250, None), (255, 130)]
@@ -128,14 +128,18 @@ def test_adapter(spark):
 
 
 def test_xml(spark, tmp_path):
-    (tmp_path / "559.xml").write_text(XML_SAMPLE)
-    (tmp_path / "600.xml").write_text("<patient")
-    assert xml.discover(spark, str(tmp_path)) == ["559", "600"] and xml.discover(spark, str(tmp_path / "none")) == []
-    d = xml.load(spark, str(tmp_path), "559")
+    (tmp_path / "A7.xml").write_text(XML_SAMPLE)
+    (tmp_path / "B2.xml").write_text("<patient")
+    assert xml.discover(spark, str(tmp_path)) == ["A7", "B2"] and xml.discover(spark, str(tmp_path / "none")) == []
+    d = xml.load(spark, str(tmp_path), "A7")
     assert {r.stream: r["count"] for r in d.groupBy("stream").count().collect()} == {"cgm": 2, "insulin": 2, "meal": 1, "wearable": 1}
     a, b = sync.synchronise(d).orderBy("us").collect()
-    assert (a.glucose, a.basal_insulin, a.heart_rate, a.eda) == (120, 0.5, 70, None) and (b.glucose, b.bolus_insulin, b.carbohydrates) == (125, 2, 30)
-    assert xml.load(spark, str(tmp_path), "600").count() == 0
+    assert (a.glucose, a.basal_insulin, a.heart_rate, a.eda) == (96.5, 0.85, 64, None) and (b.glucose, b.bolus_insulin, b.carbohydrates) == (101, 3.25, 48)
+    assert xml.load(spark, str(tmp_path), "B2").count() == 0
+    assert sorted(xml.load_all(spark, str(tmp_path)).collect()) == sorted(d.collect())
+    odd = d.withColumn("subject_id", F.lit('a<b & "c"'))
+    xml.rendered(odd).select("xml").write.text(str(tmp_path / "more"))
+    assert {r.subject_id for r in xml.load_all(spark, str(tmp_path / "more")).collect()} == {'a<b & "c"'}
     with pytest.raises(FileNotFoundError):
         xml.load(spark, str(tmp_path), "1")
     with pytest.raises(Exception, match="unreadable time"):
@@ -167,7 +171,11 @@ def test_profiles_of_odd_input(spark):
 
 def test_generated_frame(spark):
     d = generated.modelling_frame(spark, 500)
-    assert d.count() == 500 and {r[0] for r in d.select("future_hypoglycemia_30m").distinct().collect()} == {0.0, 1.0}
+    assert d.count() == 500 and {r[0] for r in d.select("future_hypoglycemia_30m").distinct().collect()} == {0.0, 1.0, None}
+    wide = generated.ablation_frame(spark)
+    assert wide.count() == 1000 and len(wide.columns) == 1 + 15 + 18 + 2 and wide.collect() == generated.ablation_frame(spark).collect()
+    assert wide.where("(glucose_current < 80 or twin_glucose_t30 < 80) != (future_hypoglycemia_30m = 1)").count() == 0
+    assert generated.smoke_readings(spark).where("bolus_insulin > 0 or carbohydrates > 0").count() == 2
     names, clean = features.sanitised(d.withColumn("bad", F.lit(math.inf)), "future_hypoglycemia_30m")
     assert "bad" in names and not any(n.startswith("future_") for n in names) and clean.where("bad is not null").count() == 0
 

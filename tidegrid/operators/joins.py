@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators.features import by_time, so_far
@@ -22,15 +22,10 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     """df with _row, its place from 0 in the given order. Rows are sorted by ranges and kept; the sizes of the partitions
     (one number each) shift the places within them, so no task sorts everything."""
     kept = checkpointed(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
-    sizes = kept.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("first")).orderBy("_part").collect()
-    start, shifts = 0, {}
-    for r in sizes:
-        shifts[r["_part"]] = start - r["first"]
-        start += r["n"]
-    if not shifts:
-        return kept.withColumn("_row", F.col("_id")).drop("_part", "_id")
-    shift = F.create_map(*(F.lit(v) for pair in shifts.items() for v in pair))
-    return kept.withColumn("_row", F.col("_id") + shift[F.col("_part")].cast("bigint")).drop("_part", "_id")
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select("_part", (before - F.col("first")).alias("_shift"))  # one row a partition
+    return kept.join(F.broadcast(shifts), "_part").withColumn("_row", F.col("_id") + F.col("_shift")).drop("_part", "_id", "_shift")
 
 
 def side_by_side(left: DataFrame, right: DataFrame, left_order: tuple[str, ...], right_order: tuple[str, ...]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
@@ -32,6 +34,21 @@ CONFIGURATIONS = {"baseline": BASELINE, "twin_only": TWIN, "hybrid": BASELINE +
 
 #: Trees without a lower validation loss after which training counts as finished.
 PATIENCE = 20
+#: Rows of a training partition, at least: every level of every tree is a job, so tiny partitions cost more than they spread.
+PARTITION_ROWS = 50_000
+#: Models trained at the same time.
+AT_ONCE = 5
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """df in no more partitions than its rows need (it is counted)."""
+    return df.coalesce(max(1, -(-df.count() // PARTITION_ROWS)))
+
+
+def together(make: Callable, what: Sequence) -> list:
+    """make of each, several at a time: their many small jobs share the executors."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(make, what))
 
 
 def features_of(df: DataFrame, configuration: str) -> list[str]:
@@ -53,9 +70,10 @@ def boosted(train: DataFrame, features: Sequence[str], trees: int = 100, depth:
     stages = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
     if validation:
         stages = stages.setValidationIndicatorCol(validation)
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), stages]).fit(train)
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), stages]).fit(compact(train))
     if stop is None or stop.isEmpty():
         return model
+    stop = compact(stop)
     assembler, grown = model.stages
     return PipelineModel([assembler, first_trees(grown, best_size(grown.evaluateEachIteration(assembler.transform(stop))))])
 
@@ -99,16 +117,16 @@ def evaluate(df: DataFrame, threshold: float) -> DataFrame:
 def compared(df: DataFrame, label: str, configurations: Sequence[str] = tuple(CONFIGURATIONS), **training) -> DataFrame:
     """Metrics on the test rows of each configuration, trained on train rows and stopped by validation rows; the threshold is that of the best F1 on the validation
     rows. df has a split column."""
-    result = None
-    for name in configurations:
+
+    def one(name: str) -> DataFrame:
         features = features_of(df, name)
         rows = prepared(df, features, label)
         validation = rows.where(F.col("split") == "validation")
         model = boosted(rows.where(F.col("split") == "train"), features, stop=validation, **training)
         threshold = metrics.best_f1_threshold(scored(model, validation)).first()["best_threshold"]
-        row = evaluate(scored(model, rows.where(F.col("split") == "test")), threshold).select(F.lit(name).alias("configuration"), F.lit(len(features)).alias("n_features"), F.lit(threshold).alias("threshold"), "*")
-        result = row if result is None else result.unionByName(row)
-    return result
+        return evaluate(scored(model, rows.where(F.col("split") == "test")), threshold).select(F.lit(name).alias("configuration"), F.lit(len(features)).alias("n_features"), F.lit(threshold).alias("threshold"), "*")
+
+    return reduce(DataFrame.unionByName, together(one, configurations))
 
 
 def importances(model, features: Sequence[str]) -> list[tuple[str, float]]:
@@ -137,9 +155,9 @@ def calibrated(validation: DataFrame, df: DataFrame, enough: int = 1000) -> Data
 
 def bootstrap(train: DataFrame, df: DataFrame, features: Sequence[str], key: Sequence[str] = ("subject_id", "us"), members: int = 10, seed: int = 42, **training) -> DataFrame:
     """Mean, 5th and 95th percentile and deviation of the scores of members trained on resamples."""
-    rows = None
-    for member in range(members):
+
+    def one(member: int) -> DataFrame:
         model = boosted(resampled(train, member, seed), features, seed=seed + member, **training)
-        part = scored(model, df).select(*key, F.lit(member).alias("member"), "score")
-        rows = part if rows is None else rows.unionByName(part)
-    return metrics.ensemble_stats(rows, key)
+        return scored(model, df).select(*key, F.lit(member).alias("member"), "score")
+
+    return metrics.ensemble_stats(reduce(DataFrame.unionByName, together(one, range(members))), key)

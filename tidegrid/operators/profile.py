@@ -72,6 +72,11 @@ def coverage(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count("*").alias("n_subjects"), *(F.count_if(F.col("duration_hours") >= 24 * d).alias(f"n_{d}d") for d in (1, 7, 14, 30)))
 
 
+def top(df: DataFrame, by: str, k: int) -> DataFrame:
+    """The k rows of the greatest values of a column (ties by the other columns), the greatest first. k rows are kept a task."""
+    return df.orderBy(F.desc_nulls_last(by), *(c for c in df.columns if c != by)).limit(k)
+
+
 def missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: rows, missing values (NULL or NaN) and their share in percent. One pass; the result is turned."""
     none = lambda c: value_or_null(c).isNull() if dict(df.dtypes)[c] in ("double", "float") else F.col(c).isNull()

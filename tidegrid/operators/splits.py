@@ -79,6 +79,15 @@ def sample_subjects(df: DataFrame, n: int, key: str = "subject_id", seed: int =
     return df.select(key).distinct().orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
+def shuffled(df: DataFrame, keys: tuple[str, ...] = ("subject_id", "us"), seed: int = 42) -> DataFrame:
+    """Rows in the order of a seeded hash of their keys, that other engines can compute too."""
+    return df.orderBy(shuffle_key(keys, seed), *keys)
+
+
+def shuffle_key(keys: tuple[str, ...] = ("subject_id", "us"), seed: int = 42) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)).cast("binary"))
+
+
 def resampled(df: DataFrame, member: int, seed: int = 42) -> DataFrame:
     """A bootstrap resample with replacement (each row a Poisson(1) number of times)."""
     return df.sample(withReplacement=True, fraction=1.0, seed=seed + member)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid import schema
 from tidegrid.operators import features, joins, metrics, models, profile, splits, twin
-from tidegrid.plans.common import CURRENT_SQL, FITTED_SQL, READINGS_SQL, STATES_SQL, WINDOWS, lag_sql, paths_sql, readings, rounded, twin_states
+from tidegrid.plans.common import CURRENT_SQL, FITTED_SQL, READINGS_SQL, SCORED_SQL, STATES_SQL, WINDOWS, lag_sql, paths_sql, readings, rounded, scored, twin_states
 from tidegrid.session import checkpointed
 
 SCENARIOS = [twin.meal(50.0, 15.0), twin.insulin(2.0, 10.0)]
@@ -103,6 +105,55 @@ def _calibrate(method):
     return query
 
 
+def _risk(model, names: list[str], folder_frame: DataFrame, rows: DataFrame) -> DataFrame:
+    """(subject_id, us, risk): the model's score of every subject's latest state under the baseline of its history, with the plain features of its latest row."""
+    now = twin.twin_features(twin.latest(twin.fitted_states(rows)))
+    plain = twin.latest(folder_frame.select("subject_id", "us", *(c for c in names if c not in models.TWIN)))
+    both = now.join(plain.drop("us"), "subject_id", "left").fillna(0.0, names)
+    return models.scored(model, both).select("subject_id", "us", F.col("score").alias("risk"))
+
+
+def latest_risk(spark: SparkSession, folder: str) -> DataFrame:
+    """Risk of low glucose within the half hour of every subject's latest state, by a model of all train rows."""
+    model, names, _ = _model(spark, folder)
+    return _risk(model, names, hybrid_frame(spark, folder), checkpointed(readings(spark, folder)))
+
+
+def model_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of one whole model and what is built on it: (check, n rows or features concerned, holds)."""
+    model, names, rows = _model(spark, folder)
+    columns = ["subject_id", "us", "label", "score"]
+    validation = checkpointed(models.scored(model, rows.where("split = 'validation'")).select(columns))
+    test = checkpointed(models.scored(model, rows.where("split = 'test'")).select(columns))
+    share = lambda c: F.coalesce(F.min(F.col(c).between(0, 1)), F.lit(True))
+    checks = [test.agg(F.count("*").alias("n"), share("score").alias("holds")).select(F.lit("scores").alias("check"), "*")]
+    for name, method in (("isotonic", models.isotonic), ("platt", models.platt), ("by_size", models.calibrated)):
+        checks.append(method(validation, test).agg(F.count("calibrated").alias("n"), share("calibrated").alias("holds")).select(F.lit(name).alias("check"), "*"))
+    # a monotone map keeps the order of scores
+    w = Window.partitionBy(F.floor(F.col("score") * 50)).orderBy("score", "calibrated")
+    ordered = models.isotonic(validation, test).select((F.col("calibrated") >= F.coalesce(F.lag("calibrated").over(w), F.col("calibrated"))).alias("up"), "calibrated")
+    checks.append(ordered.agg(F.count("calibrated").alias("n"), F.min("up").alias("holds")).select(F.lit("monotone").alias("check"), "*"))
+    risk = _risk(model, names, hybrid_frame(spark, folder), checkpointed(readings(spark, folder)))
+    checks.append(risk.agg(F.count("risk").alias("n"), share("risk").alias("holds")).select(F.lit("risk").alias("check"), "*"))
+    importance = models.importances(model, names)
+    falling = all(a[1] >= b[1] for a, b in zip(importance, importance[1:])) and abs(sum(x for _, x in importance) - 1) < 1e-6
+    checks.append(spark.createDataFrame([("importance", len(importance), falling)], "check string, n bigint, holds boolean"))
+    return reduce(DataFrame.unionByName, checks)
+
+
+def twin_features_at(spark: SparkSession, folder: str) -> DataFrame:
+    """The simulator's features at the full hours only."""
+    state = twin_states(spark, folder)
+    return rounded(twin.twin_features(twin.at_times(state, readings(spark, folder).where(F.col("us") % 3_600_000_000 == 0).select("subject_id", "us"))))
+
+
+def ensemble_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean, percentiles and deviation of eleven members' scores, which are here powers of the rule-of-thumb score."""
+    member = F.explode(F.sequence(F.lit(1), F.lit(11))).alias("member")
+    rows = scored(spark, folder).where(F.col("score") > 0).select("subject_id", "us", "score", member).withColumn("score", F.pow("score", F.col("member")))
+    return rounded(metrics.ensemble_stats(rows, ["subject_id", "us"]), 9)
+
+
 def bootstrap_uncertainty(spark: SparkSession, folder: str) -> DataFrame:
     names, rows = _rows(spark, folder)
     return models.bootstrap(rows.where("split = 'train'"), rows.where("split = 'test'"), names)
@@ -124,6 +175,10 @@ QUERIES = {
     "calibrate_isotonic": _calibrate(models.isotonic),
     "calibrate_platt": _calibrate(models.platt),
     "bootstrap_uncertainty": bootstrap_uncertainty,
+    "latest_risk": latest_risk,
+    "model_checks": model_checks,
+    "twin_features_at": twin_features_at,
+    "ensemble_stats": ensemble_stats,
 }
 
 _LATEST = "latest AS (SELECT * FROM twin QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY us DESC) = 1)"
@@ -156,6 +211,9 @@ _TWIN_COLUMNS = """round(t.glucose, 6) AS twin_glucose_current, round(insulin_ac
   round(g15 - t.glucose, 6) AS twin_delta_15m, round(g30 - t.glucose, 6) AS twin_delta_30m, round(g60 - t.glucose, 6) AS twin_delta_60m, round(observed - t.glucose, 6) AS twin_residual_current,
   list_contains(flags, 'LONG_GAP')::INTEGER::DOUBLE AS twin_has_long_gap, list_contains(flags, 'MISSING_GLUCOSE')::INTEGER::DOUBLE AS twin_has_missing_glucose, (status = 'calibrated')::INTEGER::DOUBLE AS twin_uncertainty_calibrated"""
 
+#: Plain features of the hybrid configuration that the slots give.
+_HYBRID_COLUMNS = {"glucose_current", "glucose_roc_5m", "glucose_roc_15m", "glucose_roc_30m", "patient_glucose_baseline", "hour_of_day", *models.TWIN}
+
 _HYBRID = f"""WITH RECURSIVE {STATES_SQL}{CURRENT_SQL[len(READINGS_SQL):]}, {_FEATURES},
 base AS (
   SELECT subject_id, us, glucose_current, {', '.join(f'(glucose_current - {lag_sql(m)}) / {m} AS glucose_roc_{m}m' for m in (5, 15, 30))},
@@ -167,6 +225,16 @@ SELECT b.subject_id, b.us, {', '.join(f'round(coalesce({c}, 0), {d}) AS {c}' for
 FROM labels b LEFT JOIN twins USING (subject_id, us) WHERE label IS NOT NULL"""
 
 SQL = {
+    "model_checks": f"""WITH {CURRENT_SQL},
+nexts AS (SELECT subject_id, us, lead(glucose) OVER (PARTITION BY subject_id ORDER BY us) AS nx, row_number() OVER (PARTITION BY subject_id ORDER BY us) > floor(count(*) OVER (PARTITION BY subject_id) * 0.8::DOUBLE) AS test FROM filled),
+t AS (SELECT test, min(nx) OVER (PARTITION BY subject_id ORDER BY us RANGE BETWEEN CURRENT ROW AND 1799999999 FOLLOWING) AS least FROM nexts),
+n AS (SELECT count(*) FILTER (test AND least IS NOT NULL) AS n FROM t),
+s AS (SELECT count(*) AS n FROM (SELECT subject_id FROM readings GROUP BY subject_id HAVING count(*) >= 10 AND count(glucose) >= 3))
+SELECT "check", n, true AS holds FROM n, (VALUES ('scores'), ('isotonic'), ('platt'), ('by_size'), ('monotone')) c("check")
+UNION ALL SELECT 'risk', n, true FROM s UNION ALL SELECT 'importance', {len([c for c in models.CONFIGURATIONS['hybrid'] if c in _HYBRID_COLUMNS])}, true""",
+    "twin_features_at": f"WITH RECURSIVE {STATES_SQL}, {_FEATURES} SELECT t.subject_id, t.us, {_TWIN_COLUMNS} FROM twin t JOIN wide USING (subject_id, us) WHERE t.us % 3600000000 = 0",
+    "ensemble_stats": f"""WITH {SCORED_SQL}, m AS (SELECT subject_id, us, pow(score, i) AS s FROM scored, range(1, 12) r(i) WHERE score > 0)
+SELECT subject_id, us, round(avg(s), 9) AS mean_prob, round(quantile_cont(s, 0.05), 9) AS lower_5pct, round(quantile_cont(s, 0.95), 9) AS upper_95pct, round(stddev_pop(s), 9) AS std FROM m GROUP BY ALL""",
     "hybrid_matrix": _HYBRID,
     "twin_states": f"WITH RECURSIVE {STATES_SQL} SELECT subject_id, us, round(glucose, 6) AS glucose, round(insulin_action, 6) AS insulin_action, round(insulin_state, 6) AS insulin_state, round(meal_state, 6) AS meal_state, round(baseline, 6) AS baseline, round(observed, 6) AS observed, missing_glucose, long_gap, context_state, array_to_string(flags, ',') AS flags, status FROM twin",
     "twin_forecast": f"WITH RECURSIVE {STATES_SQL}, {_LATEST}, starts AS ({_PLAIN.format('latest')}), {paths_sql('starts')} SELECT subject_id, us, CAST(k * 5 AS INTEGER) AS offset_minutes, round(g, 6) AS simulated FROM paths WHERE k > 0",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +31,23 @@ def value_or_null(column: str | Column) -> Column:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir. Only a local
     master gets a folder of its own where that is unset (tests); elsewhere that is a RuntimeError."""
-    spark = df.sparkSession
+    set_checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def set_checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidegrid-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of the checkpoints, for what a query writes and reads back."""
+    return f"{set_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Words that tell what a column holds, by group.
 GROUPS = {
@@ -39,16 +38,21 @@ def semantic_columns(df: DataFrame) -> DataFrame:
 
 
 def file_metadata(df: DataFrame) -> DataFrame:
-    """(file_path, n_row_groups, n_rows, n_columns, file_size) of the Parquet files behind df. Footers are read in tasks."""
-    files = df.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size")).distinct()
+    """(file_path, n_row_groups, n_rows, n_columns, file_size) of the Parquet files behind df, as the plan lists them: no row is read. Footers are
+    read in tasks, from any file system pyarrow knows."""
+    files = df.sparkSession.createDataFrame([(f,) for f in df.inputFiles()], "file_path string")
 
     def footers(batches):
         import pyarrow as pa
+        from pyarrow.fs import FileSystem
 
         for batch in batches:
-            paths = batch.column("file_path").to_pylist()
-            found = [pq.read_metadata(p.removeprefix("file:").replace("///", "/")) for p in paths]
-            columns = [batch.column("file_path"), *(pa.array(x, pa.int64()) for x in ([m.num_row_groups for m in found], [m.num_rows for m in found], [m.num_columns for m in found])), batch.column("file_size")]
+            rows = []
+            for uri in batch.column("file_path").to_pylist():
+                system, path = FileSystem.from_uri(uri)
+                m = pq.read_metadata(path, filesystem=system)
+                rows.append((m.num_row_groups, m.num_rows, m.num_columns, system.get_file_info(path).size))
+            columns = [batch.column("file_path"), *(pa.array(x, pa.int64()) for x in zip(*rows))] if rows else [batch.column("file_path"), *[pa.array([], pa.int64())] * 4]
             yield pa.RecordBatch.from_arrays(columns, names=["file_path", "n_row_groups", "n_rows", "n_columns", "file_size"])
 
     return files.mapInArrow(footers, "file_path string, n_row_groups bigint, n_rows bigint, n_columns bigint, file_size bigint")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 
 def write_subject_csv(df: DataFrame, path: str) -> None:
-    """One folder of CSV files per subject."""
-    df.repartition("subject_id").write.mode("overwrite").partitionBy("subject_id").csv(path, header=True)
+    """One folder of CSV files per subject; a subject's rows go to tasks by spans of 30 days (us, if there is such a column)."""
+    span = [F.floor(F.col("us") / F.lit(30 * 86_400_000_000))] if "us" in df.columns else []
+    df.repartition("subject_id", *span).write.mode("overwrite").partitionBy("subject_id").csv(path, header=True)
 
 
 def align(frames: list[DataFrame]) -> DataFrame:

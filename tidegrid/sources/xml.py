@@ -59,6 +59,41 @@ def parse(texts: DataFrame) -> DataFrame:
     return streams(texts.select("subject_id", parsed.alias("parsed")))
 
 
+def rendered(records: DataFrame) -> DataFrame:
+    """Documents of the format, one a subject and day: (subject_id, day, xml). Values without a number are left out."""
+
+    def event(when: Column, attributes: dict[str, str]) -> Column:
+        written = [F.when(F.col(v).isNotNull(), F.concat(F.lit(f' {a}="'), F.col(v).cast("string"), F.lit('"'))) for a, v in attributes.items()]
+        return F.when(when, F.concat(F.lit('<event ts="'), F.col("ts"), F.lit('"'), F.concat_ws("", *written), F.lit("/>")))
+
+    ts = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    rows = records.select("*", ts.alias("ts"), F.floor(F.col("us") / F.lit(86_400_000_000)).alias("day"))
+    several = {e: len([x for x, (s, _) in ELEMENTS.items() if s == stream]) > 1 for e, (stream, _) in ELEMENTS.items()}
+    firsts = {stream: element for element, (stream, _) in reversed(ELEMENTS.items())}
+    texts = []
+    for element, (stream, attributes) in ELEMENTS.items():
+        mine = F.col("stream") == stream
+        if several[element]:  # a record without any value goes to the first of its stream's elements
+            others = [v for e, (s, a) in ELEMENTS.items() if s == stream and e != element for v in a.values()]
+            bare = F.coalesce(*map(F.col, others)).isNull() if element == firsts[stream] else F.lit(False)
+            mine = mine & (F.coalesce(*map(F.col, attributes.values())).isNotNull() | bare)
+        texts.append(F.array_sort(F.collect_list(F.when(mine, F.struct("seq", event(mine, attributes).alias("e"))))).alias(element))
+    whole = rows.groupBy("subject_id", "day").agg(*texts)
+    parts = [F.concat(F.lit(f"<{e}>"), F.array_join(F.transform(e, lambda x: x["e"]), ""), F.lit(f"</{e}>")) for e in ELEMENTS]
+    name = F.replace(F.replace(F.replace(F.col("subject_id"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    return whole.select("subject_id", "day", F.concat(F.lit('<patient id="'), name, F.lit('">'), *parts, F.lit("</patient>")).alias("xml"))
+
+
+def load_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Stream records of all documents of a folder, of which a file may hold many, read in tasks; the subject is the document's id.
+    Malformed documents give none."""
+    pieces = spark.read.text(folder, lineSep="</patient>")
+    begin = F.instr("value", "<patient")
+    whole = pieces.where(begin > 0).select(F.concat(F.substring("value", begin, F.length("value")), F.lit("</patient>")).alias("xml"))
+    parsed = whole.select(F.from_xml("xml", FORMAT_SCHEMA, {"mode": "PERMISSIVE"}).alias("parsed"))
+    return streams(parsed.select(F.col("parsed._id").alias("subject_id"), "parsed").where(F.col("subject_id").isNotNull()))
+
+
 def load(spark: SparkSession, folder: str, subject: str) -> DataFrame:
     """Stream records of one subject's file; FileNotFoundError if there is none."""
     if subject not in discover(spark, folder):
