@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,24 @@ def test_update_equals_the_scan(spark):
         now = twin.update(now, us, r["glucose"], r["carbohydrates"], r["bolus_insulin"], r["basal_insulin"], baseline=got[0].baseline)
         row = next(g for g in got if g.us == us)
         assert (row.glucose, row.insulin_action, row.insulin_state, row.meal_state, tuple(row.flags)) == (now.glucose, now.insulin_action, now.insulin_state, now.meal_state, now.flags)
+
+
+@pytest.mark.parametrize("narrow", [1, 8, 100])
+def test_lock_step_equals_single_steps(monkeypatch, narrow):
+    """Many subjects of different lengths at once against one step after the other."""
+    monkeypatch.setattr(twin, "NARROW", narrow)
+    rng = np.random.default_rng(1)
+    length = np.array(sorted([int(n) for n in rng.integers(1, 60, 30)] + [200], reverse=True))
+    shape = len(length), length[0]
+    us = np.cumsum(rng.integers(1, 30, shape), axis=1) * MIN
+    glucose = np.where(rng.random(shape) < 0.3, np.nan, rng.uniform(50, 250, shape))
+    glucose[:, 0] = 100.0
+    carbs, bolus, basal = (np.where(rng.random(shape) < 0.1, rng.uniform(-1, high, shape), 0.0) for high in (60, 5, 2))
+    baseline = rng.uniform(90, 140, shape)
+    got = twin.advanced(length, us, glucose, carbs, bolus, basal, baseline, twin.Parameters())
+    for r, n in enumerate(length):
+        state = (100.0, 0.0, 0.0, 0.0)
+        for k in range(1, n):
+            seen = None if np.isnan(glucose[r, k]) else glucose[r, k]
+            state = twin.step(state, seen, carbs[r, k], bolus[r, k], basal[r, k], (us[r, k] - us[r, k - 1]) / MIN, baseline[r, k], twin.Parameters())
+            assert tuple(v[r, k] for v in got) == state

@@ -1,7 +1,7 @@
 """A state-space simulator per subject: causal scan, forecasts and what-if paths.
 
 The state (glucose, insulin action, insulin, meal) only recurs within a subject, so the scan runs over
-partitions sorted by subject and time, streaming, with one state per subject; it emits the state after
+partitions sorted by subject and time and advances many subjects in lock-step; it emits the state after
 every row. Forecasts and what-if paths are folds of a row's state and stay in the JVM.
 """
 
@@ -11,15 +11,19 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.batching import column, whole_groups
 from tidegrid.schema import MINUTE_US
 
 STEP_MINUTES = 5
 BURN_IN = 10
 REFRESH = 100
+#: Rows read before a batch of whole subjects is advanced, subjects that advance together, and how few go on one by one.
+SCAN_ROWS, SUBJECTS, NARROW = 131_072, 1024, 8
 
 
 @dataclass(frozen=True)
@@ -79,39 +83,72 @@ def step(state: tuple, glucose: float | None, carbs: float, bolus: float, basal:
     return glucose, after_action, after_insulin, after_meal
 
 
+def advanced(length: np.ndarray, us, glucose, carbs, bolus, basal, baseline, p: Parameters) -> list[np.ndarray]:
+    """States (glucose, action, insulin, meal) after every row of many subjects, the longest first, of which row k of each advances
+    at the same time; arrays are (subjects, rows) and a missing glucose is NaN. The last few long subjects go on one by one."""
+    out = [np.zeros(glucose.shape) for _ in range(4)]
+    out[0][:, 0] = glucose[:, 0]
+    minutes = np.diff(us, axis=1) / MINUTE_US
+    active = np.searchsorted(-length, -np.arange(glucose.shape[1]), side="left")  # subjects longer than k
+    k = 1
+    while k < glucose.shape[1] and active[k] >= NARROW:
+        m = active[k]
+        g, x, i, meal = (v[:m, k - 1] for v in out)
+        absorbed = p.absorption * meal
+        seen, base = glucose[:m, k], baseline[:m, k]
+        ahead = np.maximum(10.0, g + p.drift * (base - g) + p.conversion * absorbed - p.sensitivity * x)
+        out[0][:m, k] = np.where(np.isnan(seen), ahead, seen)
+        out[1][:m, k] = np.maximum(0.0, x - p.clearance * x + p.clearance * i)
+        out[2][:m, k] = np.maximum(0.0, i - p.clearance * i + (bolus[:m, k] + basal[:m, k] * (minutes[:m, k - 1] / 60.0)))
+        out[3][:m, k] = np.maximum(0.0, meal - absorbed + carbs[:m, k])
+        k += 1
+    for r in range(active[k] if k < glucose.shape[1] else 0):
+        end = int(length[r])
+        state = tuple(float(v[r, k - 1]) for v in out)
+        rest = zip(*(v[r, k:end].tolist() for v in (glucose, carbs, bolus, basal)), minutes[r, k - 1 : end - 1].tolist(), baseline[r, k:end].tolist())
+        states = [state := step(state, None if seen != seen else seen, c, b, ba, dt, base, p) for seen, c, b, ba, dt, base in rest]
+        if states:
+            for v, column in zip(out, zip(*states)):
+                v[r, k:end] = column
+    return out
+
+
 def scan(batches: Iterator[pa.RecordBatch], p: Parameters, refresh: int | None = REFRESH) -> Iterator[pa.RecordBatch]:
-    """mapInArrow body over (subject_id, us, n_known, burn_end, burn_mean, glucose, basal_insulin, bolus_insulin,
-    carbohydrates) sorted by subject and time, holding the state of one subject only."""
+    """mapInArrow body over (subject_id, us, burn_end, burn_mean, glucose, basal_insulin, bolus_insulin, carbohydrates) sorted by
+    subject and time. A subject is held whole: its rows are slots, bounded by its calendar."""
     names = [f.split()[0] for f in STATE.split(", ")]
-    subject, state, at, count, total, baseline = None, None, 0, 0, 0.0, 0.0
-    for batch in batches:
-        out = []
-        for sid, us, end, mean, glucose, basal, bolus, carbs in zip(*(batch.column(c).to_pylist() for c in ("subject_id", "us", "burn_end", "burn_mean", "glucose", "basal_insulin", "bolus_insulin", "carbohydrates"))):
-            if sid != subject:
-                subject, state, count, total, baseline = sid, None, 0, 0.0, mean
-            if us <= end:
-                if glucose is None:
-                    continue  # only rows with glucose burn in
-                count, total = count + 1, total + glucose
-                if state is None:
-                    state = (glucose, 0.0, 0.0, 0.0)
-                else:
-                    state = step(state, glucose, carbs or 0.0, bolus or 0.0, basal or 0.0, (us - at) / MINUTE_US, baseline, p)
-                at = us
-                if refresh is None and us == end:
-                    out.append((sid, us, *state, baseline, glucose, 0, 0))
+    kinds = [pa.string(), pa.int64(), *[pa.float64()] * 6, pa.int32(), pa.int32()]
+    for table, run in whole_groups(batches, ["subject_id"], SCAN_ROWS):
+        us, end = column(table, "us", "int64"), column(table, "burn_end", "int64")
+        glucose, mean = column(table, "glucose"), column(table, "burn_mean")
+        given = [np.nan_to_num(column(table, c)) for c in ("carbohydrates", "bolus_insulin", "basal_insulin")]
+        kept = np.flatnonzero((us > end) | ~np.isnan(glucose))  # only rows with glucose burn in
+        _, group = np.unique(run[kept], return_inverse=True)
+        length = np.bincount(group)
+        order = np.argsort(-length, kind="stable")
+        start = np.cumsum(length) - length
+        for part in np.array_split(order, max(1, -(-len(order) // SUBJECTS))):
+            n = length[part]
+            if not len(n):
                 continue
-            if glucose is not None:
-                count, total = count + 1, total + glucose
-            if refresh and count % refresh == 0:
-                baseline = total / count
-            minutes = (us - at) / MINUTE_US
-            state = step(state, glucose, carbs or 0.0, bolus or 0.0, basal or 0.0, minutes, baseline, p)
-            at = us
-            out.append((sid, us, *state, baseline, glucose, int(glucose is None), int(minutes > LONG_GAP_MINUTES)))
-        if out:
-            kinds = (pa.string(), pa.int64(), *[pa.float64()] * 6, pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            at = kept[np.minimum(start[part][:, None] + np.arange(n[0]), (start[part] + n - 1)[:, None])]
+            t, g, first = us[at], glucose[at], mean[at[:, 0]]
+            known = ~np.isnan(g)
+            count = np.cumsum(known, axis=1)
+            base = np.broadcast_to(first[:, None], g.shape)
+            if refresh:
+                new = (t > end[at]) & (count % refresh == 0)
+                held = np.maximum.accumulate(np.where(new, np.arange(g.shape[1]), -1), axis=1)
+                means = np.cumsum(np.where(known, g, 0.0), axis=1) / np.maximum(count, 1)
+                base = np.where(held >= 0, np.take_along_axis(means, np.maximum(held, 0), 1), base)
+            states = advanced(n, t, g, *(v[at] for v in given), base, p)
+            emitted = (np.arange(g.shape[1]) < n[:, None]) & ((t > end[at]) | ((t == end[at]) if refresh is None else False))
+            gap = np.c_[np.zeros(len(t)), np.diff(t, axis=1)] > LONG_GAP_MINUTES * MINUTE_US
+            after = (t > end[at])[emitted]
+            where = pa.array(at[emitted])
+            seen = g[emitted]
+            values = [table.column("subject_id").combine_chunks().take(where), t[emitted], *(v[emitted] for v in states), base[emitted], pa.array(seen, mask=np.isnan(seen)), (np.isnan(seen) & after).astype(np.int32), (gap[emitted] & after).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(values, kinds)], names=names)
 
 
 def with_quality(state: DataFrame, context: float, status: str) -> DataFrame:
