@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidegrid.session import checkpointed
 
-#: Quantile cells of a hot key; chunks are made of whole cells or, for the largest keys, of equal parts of cells.
-CELLS = 256
-#: Cells of a chunk, at least: the margin is one cell, so at most 2/16 of a hot key's rows are repeated.
+#: Cells of a hot key, a power of two: about equally many rows each. Chunks are made of whole cells or, for keys with more than
+#: CELLS / CHUNK_CELLS chunks, of parts of cells, of equal width.
+CELLS = 1024
+#: Cells of a chunk, at least, and its share of which a margin is made: at most 2/16 of a hot key's rows are repeated.
 CHUNK_CELLS = 16
-#: Hot keys up to which their borders (about 2 KB each) are broadcast; more are joined by shuffle.
+#: Hot keys up to which their borders (about 8 KB each) are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 1024
 
 
@@ -27,7 +28,7 @@ def hot_keys(df: DataFrame, key: str, order: str, target_rows: int) -> DataFrame
         return None
     small = found <= BROADCAST_KEYS
     wanted = counts.select(key)
-    fractions = F.array(*(F.lit(i / CELLS) for i in range(CELLS + 1)))
+    fractions = F.expr(f"array({', '.join(f'{i / CELLS!r}D' for i in range(CELLS + 1))})")
     borders = df.join(F.broadcast(wanted) if small else wanted, key, "left_semi").groupBy(key).agg(F.percentile_approx(order, fractions, F.lit(4 * CELLS)).alias("borders"), F.count("*").alias("count"))
     chunks = F.ceil(F.col("count") / F.lit(target_rows))
     parts = F.ceil(chunks * F.lit(CHUNK_CELLS) / F.lit(CELLS)).cast("int")
@@ -37,8 +38,8 @@ def hot_keys(df: DataFrame, key: str, order: str, target_rows: int) -> DataFrame
 
 def cell_of(order: str) -> tuple[Column, Column]:
     """Cell in which a value lies, and number of its part of that cell (given _cell). Equal values lie in the same."""
-    inner = F.slice("borders", 2, CELLS - 1)
-    cell = F.aggregate(inner, F.lit(0), lambda n, b: n + F.when(b <= F.col(order), 1).otherwise(0))
+    halves = F.array(*(F.lit(CELLS >> k) for k in range(1, CELLS.bit_length())))
+    cell = F.aggregate(halves, F.lit(0), lambda n, half: n + F.when(F.get("borders", n + half) <= F.col(order), half).otherwise(0))  # by halving
     low, high = F.get("borders", F.col("_cell")), F.get("borders", F.col("_cell") + 1)
     part = F.floor((F.col(order) - low) * F.col("parts") / F.greatest(high - low, F.lit(1)))
     within = F.greatest(F.lit(0), F.least(F.col("parts") - 1, part)).cast("int")
@@ -48,7 +49,7 @@ def cell_of(order: str) -> tuple[Column, Column]:
 def chunked(df: DataFrame, key: str, order: str, target_rows: int) -> DataFrame:
     """Adds chunk (0 for keys that aren't hot) and core. order is a whole number.
 
-    Rows of a hot key in the first or last cell of a chunk are repeated, with core = false, in the chunk beside it, as
+    Rows of a hot key in the first or last sixteenth of a chunk are repeated, with core = false, in the chunk beside it, as
     context for what looks at neighbours. Every row has exactly one row with core = true.
     """
     df = df.drop("chunk", "core")
@@ -73,7 +74,8 @@ def spread_out(df: DataFrame, hot: DataFrame, key: str, order: str, how: str = "
     home = F.floor(F.col("_place") / size).cast("int")
     last = F.lit(CELLS) * F.col("parts") - 1
     at = lambda chunk, core: F.struct(chunk.alias("chunk"), F.lit(core).alias("core"))
-    before = F.when((F.col("_place") % size == 0) & (F.col("_place") > 0), home - 1)
-    after = F.when((F.col("_place") % size == size - 1) & (F.col("_place") < last), home + 1)
+    margin = F.ceil(size / F.lit(CHUNK_CELLS))
+    before = F.when((F.col("_place") % size < margin) & (home > 0), home - 1)
+    after = F.when((F.col("_place") % size >= size - margin) & (home < F.floor(last / size)), home + 1)
     places = F.when(F.col("_place").isNull(), F.array(at(F.lit(0), True))).otherwise(F.filter(F.array(at(home, True), at(before, False), at(after, False)), lambda x: x["chunk"].isNotNull()))
     return rows.select("*", F.inline(places)).drop("_place", "parts", "per_chunk")
