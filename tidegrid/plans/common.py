@@ -22,7 +22,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Rows with the rule-of-thumb score and the half-hour label, with the columns error tables need."""
-    df = features.with_labels(features.context_features(features.meal_features(features.insulin_features(features.glucose_features(readings(spark, folder))))))
+    df = readings(spark, folder)
+    have = [*df.columns, "is_night_clock_based"]
+    df = features.layered(df, features.glucose_layers(have), features.insulin_layers(have), features.meal_layers(have), features.context_layers(), features.label_layers(have))
     df = df.withColumn("score", metrics.persistence()).withColumn("label", F.col("future_hypoglycemia_30m").cast("int"))
     return df.select("subject_id", "us", "score", "label", "glucose_current", "glucose_roc_5m", "is_night_clock_based", "bolus_insulin_recent", "insulin_bolus_last_30m", "carbs_recent", "carbs_last_30m", "minutes_since_last_glucose")
 

@@ -61,8 +61,7 @@ def _errors(spark: SparkSession, folder: str, observed) -> DataFrame:
 def hybrid_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Features and labels joined with the simulator's features, with a split by subject."""
     rows = checkpointed(readings(spark, folder))  # features and simulator share the slots
-    df = features.with_labels(features.baseline_features(features.context_features(features.glucose_features(rows))))
-    df = joins.with_features(df, twin.twin_features(twin.states(rows)))
+    df = joins.with_features(features.hybrid_features(rows), twin.twin_features(twin.states(rows)))
     return splits.positional(df)
 
 
