@@ -12,7 +12,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) of every node of edges (a, b); the component is its least node.
 
     Each round only aggregates minima per node (combined before the shuffle) and joins them back, so
-    a hub is no problem; lineage is cut by a checkpoint per round. Self-loops keep a node in the result.
+    a hub is no problem; lineage is cut by a checkpoint per round. Self-loops keep a node in the result. The rounds needed grow with the logarithm of the
+    longest path; a RuntimeError is raised rather than a wrong result returned if max_rounds do not settle it.
     """
     pairs = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = checkpointed(pairs)

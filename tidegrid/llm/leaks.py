@@ -29,8 +29,8 @@ LONG = 9
 DIFFERENT, GAP, LEAST_VALUE = 3, 6, 9
 #: Least share of the item's words in all passages.
 SHARE = 1 / 3
-#: Words of all items of one automaton; more items are taken in blocks, each against all documents.
-BLOCK_WORDS = 1_000_000
+#: Words of all items of one automaton (about 200 MB a worker); more items are taken in blocks, each against all documents.
+BLOCK_WORDS = 400_000
 
 OUTPUT = "doc_id bigint, item_id bigint, share double, n_words bigint, char_start bigint, char_end bigint"
 PREPARED = "item_id bigint, words array<string>, whole string, prefixes array<struct<n:int,key:string>>"
