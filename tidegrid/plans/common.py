@@ -60,8 +60,7 @@ slots AS (
 readings AS (
   SELECT subject_id, slot AS us, glucose, basal_insulin, bolus_insulin, carbohydrates, {', '.join(f'w.{v} AS {v}' for v in schema.VALUES['wearable'])} FROM slots)"""
 
-CURRENT_SQL = f"""{READINGS_SQL},
-around AS (
+FILLED_SQL = """around AS (
   SELECT *, row_number() OVER w AS n,
     last_value(glucose IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g0,
     last_value(CASE WHEN glucose IS NOT NULL THEN us END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t0,
@@ -75,6 +74,7 @@ filled AS (
     CASE WHEN glucose IS NOT NULL THEN glucose WHEN k <= 2 THEN
       CASE WHEN g1 IS NOT NULL THEN g0 + (g1 - g0) * (us - t0) / (t1 - t0) ELSE g0 END END AS glucose_current
   FROM places)"""
+CURRENT_SQL = f"{READINGS_SQL},\n{FILLED_SQL}"
 
 #: Named windows over five-minute rows.
 WINDOWS = "w AS (PARTITION BY subject_id ORDER BY us), " + ", ".join(f"w{m} AS (PARTITION BY subject_id ORDER BY us RANGE BETWEEN {m * 60_000_000 - 1} PRECEDING AND CURRENT ROW)" for m in (15, 30, 60, 1440)) + ", upto AS (PARTITION BY subject_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"

@@ -302,8 +302,9 @@ SELECT subject_id, us, round(m, 9) AS personal_glucose_baseline_24h, round(s, 9)
     "labels_severe": _labels({"future_severe_hypoglycemia_30m": "m30 < 54", "future_severe_hypoglycemia_60m": "m60 < 54"}),
     "labels_nocturnal": _labels({f"future_nocturnal_hypoglycemia_{m}m": f"CASE WHEN m{m} IS NOT NULL THEN m{m} < 70 AND night END" for m in (30, 60)}),
     "labels_strict": _labels({"future_hypoglycemia_30m": "m30 < 70", "future_hypoglycemia_60m": "m60 < 70"}, True),
-    "window_trim": _labels({"glucose": "glucose", "future_hypoglycemia_30m": "m30 < 70", "future_hypoglycemia_60m": "m60 < 70"}).replace("SELECT subject_id, us, CAST(glucose", "SELECT * FROM (SELECT * FROM (SELECT subject_id, us, CAST(glucose")
-    + ") QUALIFY us >= min(us) OVER (PARTITION BY subject_id) + 3600000000) WHERE true QUALIFY us <= max(us) OVER (PARTITION BY subject_id) - 3600000000 AND future_hypoglycemia_30m IS NOT NULL AND future_hypoglycemia_60m IS NOT NULL",
+    "window_trim": f"""SELECT * FROM (
+  SELECT * FROM ({_labels({"glucose": "glucose", "future_hypoglycemia_30m": "m30 < 70", "future_hypoglycemia_60m": "m60 < 70"})}) QUALIFY us >= min(us) OVER (PARTITION BY subject_id) + 3600000000)
+QUALIFY us <= max(us) OVER (PARTITION BY subject_id) - 3600000000 AND future_hypoglycemia_30m IS NOT NULL AND future_hypoglycemia_60m IS NOT NULL""",
     "split_two_way": f"WITH {READINGS_SQL} SELECT subject_id, us, CASE WHEN row_number() OVER (PARTITION BY subject_id ORDER BY us) <= floor(count(*) OVER (PARTITION BY subject_id) * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM readings",
     "split_positional": f"WITH {READINGS_SQL}, n AS (SELECT subject_id, us, row_number() OVER (PARTITION BY subject_id ORDER BY us) AS rn, count(*) OVER (PARTITION BY subject_id) AS n FROM readings) SELECT subject_id, us, CASE WHEN rn <= floor(n * 0.6::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM n",
     "split_embargo": f"WITH {_EMBARGO} SELECT * FROM kept",

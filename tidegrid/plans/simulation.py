@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid import schema
 from tidegrid.operators import features, joins, metrics, models, profile, splits, twin
-from tidegrid.plans.common import CURRENT_SQL, FITTED_SQL, READINGS_SQL, SCORED_SQL, STATES_SQL, WINDOWS, lag_sql, paths_sql, readings, rounded, scored, twin_states
+from tidegrid.plans.common import CURRENT_SQL, FILLED_SQL, FITTED_SQL, SCORED_SQL, STATES_SQL, WINDOWS, lag_sql, paths_sql, readings, rounded, scored, twin_states
 from tidegrid.session import checkpointed
 
 SCENARIOS = [twin.meal(50.0, 15.0), twin.insulin(2.0, 10.0)]
@@ -213,7 +213,7 @@ _TWIN_COLUMNS = """round(t.glucose, 6) AS twin_glucose_current, round(insulin_ac
 #: Plain features of the hybrid configuration that the slots give.
 _HYBRID_COLUMNS = {"glucose_current", "glucose_roc_5m", "glucose_roc_15m", "glucose_roc_30m", "patient_glucose_baseline", "hour_of_day", *models.TWIN}
 
-_HYBRID = f"""WITH RECURSIVE {STATES_SQL}{CURRENT_SQL[len(READINGS_SQL):]}, {_FEATURES},
+_HYBRID = f"""WITH RECURSIVE {STATES_SQL}, {FILLED_SQL}, {_FEATURES},
 base AS (
   SELECT subject_id, us, glucose_current, {', '.join(f'(glucose_current - {lag_sql(m)}) / {m} AS glucose_roc_{m}m' for m in (5, 15, 30))},
     avg(glucose) OVER w1440 AS patient_glucose_baseline, CAST((us // 3600000000) % 24 AS INTEGER) AS hour_of_day, lead(glucose) OVER w AS nx FROM filled WINDOW {WINDOWS}),
