@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import canonical
@@ -90,6 +93,17 @@ def test_the_forest_decides(spark, monkeypatch):
     assert (open_ > 0).sum() > 2 * (rule > 0).sum()
 
 
+def test_switching_the_forest_off_changes_what_is_found(spark, monkeypatch):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    rows = spark.read.parquet(f"{folder}/canonical_records.parquet")
+    found = set(spikes.implausible(rows).collect())
+    monkeypatch.setattr(spikes, "ODD", 0.0)
+    without = set(spikes.implausible(rows).collect())
+    assert found < without and len(without) >= 1.05 * len(found)
+
+
 def test_repeats_and_corrections(spark):
     t, y = source(5)
     y[100] += 100

@@ -37,9 +37,11 @@ RULES = np.array(["", "impossible", "spike", "frozen"], dtype=object)
 SPIKE_LENGTH, LEAP, NEAR_US = 3, 5.5, 2 * 3600 * 1_000_000
 #: Least length of a frozen run, expected number of such runs by chance in the source, and scale of runs in lengths beyond chance.
 FROZEN, CHANCE, RUN = 6, 1e-3, 0.7
+#: Scale of level and season, in spreads: they saturate early, since a source's own extremes are far out but true.
+AWAY = 0.25
 #: Score of the forest from which a reading is implausible, if it leaps there and back by the least leap (in typical steps) or
 #: repeats its value over the least part of a run beyond chance: a reading that is only high or low at an odd hour may be true.
-ODD, LEAST_LEAP, LEAST_PART = 0.52, 4.0, 0.5
+ODD, LEAST_LEAP, LEAST_PART = 0.51, 3.0, 0.5
 #: Features of a reading: level, difference, season, run length.
 FEATURES = 4
 
@@ -171,9 +173,9 @@ def described(signal: str, group: np.ndarray, us: np.ndarray, value: np.ndarray,
     season = by_hour[cell]
     season = np.where(np.isnan(season), center[group], season)
     features = np.empty((rows, FEATURES), np.float32)
-    features[:, 0] = saturating(np.abs(x - center[group]) / spread[group], 1.0, 1)
-    features[:, 1] = saturating(np.where(impossible, np.inf, row_leap), LEAP, 3)
-    features[:, 2] = saturating(np.abs(x - season) / spread[group], 1.0, 1)
+    features[:, 0] = saturating(np.abs(x - center[group]) / spread[group], AWAY, 1)
+    features[:, 1] = saturating(np.where(impossible, np.inf, row_leap), LEAP, 4)
+    features[:, 2] = saturating(np.abs(x - season) / spread[group], AWAY, 1)
     features[:, 3] = saturating((row_run - 1) / (least[group] - 1), RUN, 3)
     train = np.zeros(rows, bool)  # a frozen stretch counts once
     train[o[start]] = True
@@ -184,7 +186,7 @@ def described(signal: str, group: np.ndarray, us: np.ndarray, value: np.ndarray,
     return SimpleNamespace(features=features, train=train, seeds=seeds, impossible=impossible, leap=row_leap, run=row_run, least=least)
 
 
-def judge(signal: str, group: np.ndarray, us: np.ndarray, value: np.ndarray, odd: float = ODD, given: dict[int, tuple] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def judge(signal: str, group: np.ndarray, us: np.ndarray, value: np.ndarray, odd: float | None = None, given: dict[int, tuple] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Score and rule number of every value (no NaN), ordered by group, time and arrival. given: statistics of the whole source, and times and
     features of its training rows, of groups that are chunks of one."""
     given = given or {}
@@ -200,7 +202,7 @@ def judge(signal: str, group: np.ndarray, us: np.ndarray, value: np.ndarray, odd
     score[order] = forest_scores(features, owner[order], np.r_[d.train, np.ones(len(owner) - rows, bool)][order], seeds=d.seeds, number=number)
     score = score[:rows]
     rule = np.zeros(rows, np.int8)
-    strange = score >= odd
+    strange = score >= (ODD if odd is None else odd)
     rule[strange & (d.run >= LEAST_PART * d.least[group])] = 3
     rule[strange & (d.leap >= LEAST_LEAP)] = 2
     rule[d.impossible] = 1
