@@ -1,6 +1,7 @@
 """Every query with SQL, against DuckDB on the smallest data, where those are at hand."""
 
 import glob
+import importlib
 import math
 import os
 
@@ -55,3 +56,16 @@ def test_core_does_not_use_the_subpackage():
     for path in glob.glob(f"{root}/**/*.py", recursive=True):
         if f"{os.sep}llm{os.sep}" not in path:
             assert "tidegrid.llm" not in open(path).read()
+
+
+def test_a_missing_optional_package_leaves_the_core(monkeypatch):
+    whole = importlib.import_module
+
+    def without(name):
+        if name == "tidegrid.llm.queries":
+            raise ImportError("a package of the subpackage is missing")
+        return whole(name)
+
+    monkeypatch.setattr(importlib, "import_module", without)
+    names = set(__spark_entry__.queries())
+    assert "p1_found" in names and "p7_found" not in names and set(__spark_entry__.oracle_sql()) <= names
