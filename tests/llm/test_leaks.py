@@ -161,3 +161,15 @@ def test_share_against_brute_force(spark):
             assert abs(got[k, k].share - share) < 0.02
         else:
             assert (k, k) not in got
+
+
+def test_what_is_said_over_and_over(spark):
+    item = "tick tock " * 200 + "went the clock upon the wall of our old house"
+    docs = {1: "so " + item, 2: "tick tock " * 150_000, 3: "one two three " * 100_000 + item}
+    got = found(spark, [(1, item), (None, item), (3, "one two three " * 50)], docs)
+    assert {(1, 1), (1, None), (3, 1), (3, None), (3, 3)} <= set(got) and got[1, 1].share > 0.9
+
+
+def test_items_without_a_case(spark):
+    assert found(spark, [(1, None), (2, ""), (None, None)], {1: "some text of a page", None: None}) == {}
+    assert L.few([])[0] == [] and L.few([5])[0] == [5] and L.few([0] * 50)[1] is None

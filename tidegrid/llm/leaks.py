@@ -22,6 +22,8 @@ from tidegrid.session import checkpointed
 
 #: Words of a pattern: shorter runs of equal words count only between two longer ones.
 PIECE = 4
+#: Longest period of what is said over and over, of which only so many rounds count.
+PERIOD = 8
 #: Words of a run of equal words that says something though every piece of it stands in other items too.
 LONG = 9
 #: Cost of a word that differs inside a passage (an equal one in a run that says something is worth 1), most differing words in a row,
@@ -180,20 +182,19 @@ class Items:
         if places:
             self.automaton.make_automaton()
 
-    def hits(self, words: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Item, word of the item and word of the document where a piece begins in both."""
+    def pieces(self, words: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that occur, and the word of the document where each begins."""
         found = list(self.automaton.iter(tuple(words))) if self.automaton is not None else []
         if not found:
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int64),) * 2
         end, piece = np.array(found, np.int64).T
-        count = self.start[piece + 1] - self.start[piece]
-        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        place = self.flat[np.repeat(self.start[piece], count) + nth]
-        return place[:, 0], place[:, 1], np.repeat(end + 1 - self.length[piece], count)
-
-    def likely(self, item: np.ndarray, at_item: np.ndarray) -> np.ndarray:
-        """Items of which pieces cover enough own words, wherever they stand."""
-        pairs = np.unique(item << 32 | at_item)
+        return piece, end + 1 - self.length[piece]
+
+    def likely(self, piece: np.ndarray) -> np.ndarray:
+        """Items of which the pieces that occur cover enough own words, wherever they stand."""
+        piece = np.unique(piece)
+        place = self.flat[ranges(self.start[piece], self.start[piece + 1])]
+        pairs = np.unique(place[:, 0] << 32 | place[:, 1])
         item, at = pairs >> 32, pairs & 0xFFFFFFFF
         begin, end = np.maximum(at, self.opening[item]), at + self.piece[item]
         last = np.r_[item[1:] != item[:-1], True]
@@ -201,19 +202,34 @@ class Items:
         covered = np.bincount(item, np.maximum(end - begin, 0), minlength=len(self.need))
         return np.flatnonzero(covered >= self.need)
 
+    def hits(self, items: np.ndarray, piece: np.ndarray, at_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, word of the item and word of the document where a piece of one of the items begins in both."""
+        of = np.isin(self.flat[:, 0], items)
+        before = np.r_[0, np.cumsum(of)]
+        start, end = before[self.start[piece]], before[self.start[piece + 1]]
+        place = self.flat[of][ranges(start, end)]
+        return place[:, 0], place[:, 1], np.repeat(at_doc, end - start)
+
+
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The whole numbers from each start up to its end, one range after the other."""
+    n = end - start
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+
 
 def few(words: list[int]) -> tuple[list[int], np.ndarray | None]:
-    """Words with runs of one word cut to PIECE of it, and the places of those kept (None if it is all)."""
-    if len(words) <= PIECE:
-        return words, None
-    number = np.array(words)
-    same = np.ones(len(words) - PIECE, bool)
-    for k in range(PIECE):
-        same &= number[PIECE:] == number[k : len(words) - PIECE + k]
-    same &= number[PIECE:] > 0
-    if not same.any():
+    """Words without what goes on after PIECE repeats of the same PERIOD words or fewer, and the places of those kept (None if it is all)."""
+    number = np.array(words, np.int64)
+    over = np.zeros(len(words), bool)
+    for period in range(1, PERIOD + 1):
+        same = (number[period:] == number[:-period]) & (number[period:] > 0)
+        if same.sum() < period * PIECE:
+            continue
+        place = np.arange(len(same))
+        over[period:] |= place - np.maximum.accumulate(np.where(same, -1, place)) >= period * PIECE
+    if not over.any():
         return words, None
-    kept = np.flatnonzero(~np.r_[np.zeros(PIECE, bool), same])
+    kept = np.flatnonzero(~over)
     return number[kept].tolist(), kept
 
 
@@ -323,12 +339,11 @@ def scan(batches: Iterator[pa.RecordBatch], shared, share: float) -> Iterator[pa
                 continue
             low = folded(text)
             words, kept = few([number(w, 0) for w in words_of(low)])
-            item, at_item, at_doc = ready.hits(words)
-            if not len(item):
-                continue
-            likely, spans = ready.likely(item, at_item), None
+            piece, at = ready.pieces(words)
+            likely, spans = ready.likely(piece), None
             if not len(likely):
                 continue
+            item, at_item, at_doc = ready.hits(likely, piece, at)
             words = np.array(words)
             for k in likely.tolist():
                 mine = item == k
@@ -347,7 +362,8 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, block_words:
     docs (doc_id bigint, text string), items (item_id bigint, item_text string). Columns: doc_id, item_id, share
     (of the item's own words), n_words, char_start and char_end (offsets in the original text around all passages found).
     Leading sentences that several different items share count neither as found nor as to be found, unless an item would have fewer than PIECE words left.
-    Words of any script count; in scripts without spaces each sign is a word. A word more than PIECE times in a row counts PIECE times.
+    Words of any script count; in scripts without spaces each sign is a word. Up to PERIOD words said over and over count PIECE + 1 times at most
+    (a single word PIECE times).
     NULL and empty texts and items have no row; items of up to PIECE words must occur whole. Repeated documents and
     items each have their rows. Items are a stated query set: beyond block_words words in all they are taken in blocks, one after the other.
     """
