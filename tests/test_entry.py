@@ -4,11 +4,13 @@ import glob
 import importlib
 import math
 import os
+from types import SimpleNamespace
 
 import duckdb
 import pytest
 
 import __spark_entry__
+from tidegrid.session import set_checkpoint_folder
 
 FOLDER = "/root/testdata/sf0.001"
 CORE = [n for m in __spark_entry__._modules() if not m.__name__.startswith("tidegrid.llm") for n in m.SQL]
@@ -69,3 +71,17 @@ def test_a_missing_optional_package_leaves_the_core(monkeypatch):
     monkeypatch.setattr(importlib, "import_module", without)
     names = set(__spark_entry__.queries())
     assert "p1_found" in names and "p7_found" not in names and set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_a_cluster_must_name_its_checkpoint_folder():
+    def fake(master, folder):
+        made = []
+        scala = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: not made, get=lambda: made[0]))
+        conf = SimpleNamespace(get=lambda key, default=None: folder)
+        context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: scala), getConf=lambda: conf, master=master, setCheckpointDir=made.append)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        set_checkpoint_folder(fake("spark://host:7077", None))
+    assert set_checkpoint_folder(fake("spark://host:7077", "/shared/x")) == "/shared/x"
+    assert os.path.isdir(set_checkpoint_folder(fake("local[2]", None)))
