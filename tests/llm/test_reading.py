@@ -89,6 +89,51 @@ def test_language_is_told_by_letters():
     assert english > german + 1 and letters.of([]) == -math.inf
 
 
+def least_score(words):
+    """The threshold of samples in order of their hashes."""
+    others = [R.Letters.learnt([w for i, w in enumerate(words) if i % R.FOLDS != k]) for k in range(R.FOLDS)]
+    worst = min(others[i % R.FOLDS].of(w) for i, w in enumerate(words))
+    back = [others[i % R.FOLDS].of([x[::-1] for x in w]) for i, w in enumerate(words)]
+    return worst - R.FAR * max(0.0, worst - sum(back) / len(back))
+
+
+def test_all_samples_teach_letters(spark):
+    """Every one of many samples counts, and the least likely one, whichever it is, sets the threshold."""
+    texts = [f"The {SIMPLE[i % 16]} sat by the {MIDDLE[i // 16 % 10]} and {chr(97 + i // 26 % 26)}{chr(97 + i % 26)}q ran." for i in range(6_000)]
+    texts[::1_500] = [f"Zyx{k} wvut qxzj kqvw xjzq vkqx jzxw." for k in range(4)]
+    texts[7::100] = ["Home"] * 60
+    s = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "sample_id bigint, band bigint, sample_text string")
+    got = R.language(s.repartition(7))
+    in_order = [r.sample_text for r in s.select(F.xxhash64("sample_text").alias("hash"), "sample_text").coalesce(1).sortWithinPartitions("hash").collect()]
+    words = [w for w in (R.split_words(R.prose(t)) for t in in_order) if w]
+    letters = R.Letters.learnt(words)
+    assert len(words) == 5_940 and got[:2] == (letters.three, letters.two)
+    assert got[2] == pytest.approx(least_score(words), abs=1e-9)
+    assert R.language(s.repartition(3)) == got
+
+
+def test_places_are_those_of_the_whole_order(spark, world):
+    """The threshold is the same however the samples are cut into partitions and batches."""
+    _, s = frames(spark, world)
+    order = [r.sample_text for r in s.orderBy(F.xxhash64("sample_text")).collect()]
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1"), ("spark.sql.adaptive.enabled", "false")):
+        before = spark.conf.get(key)
+        spark.conf.set(key, value)
+        try:
+            assert R.language(s.repartition(5))[2] == pytest.approx(least_score([R.split_words(R.prose(t)) for t in order]), abs=1e-9)
+        finally:
+            spark.conf.set(key, before)
+
+
+def test_samples_without_words(spark):
+    schema = "sample_id bigint, band bigint, sample_text string"
+    none = R.language(spark.createDataFrame([(1, 1, None), (2, 1, ""), (3, 2, "Home\nShop")], schema))
+    assert none == ({}, {}, math.inf)
+    one = "The cat sat by the red bus."
+    three, _, least = R.language(spark.createDataFrame([(1, 1, one), (2, 1, None)], schema))
+    assert three["the"] == 1 and least <= R.Letters.learnt([R.split_words(one)]).of(R.split_words(one))
+
+
 def test_what_is_no_case(spark, world):
     d, s = frames(spark, world)
     german = "Der Garten ist schön und die Küche ist groß, weil das Haus im Norden mit dem Bild und der Straße nicht für uns ist. " * 8

@@ -1,6 +1,6 @@
 """Reading level: the smallest frequency-ranked vocabularies that cover fixed shares of a document's words.
 
-The letter patterns of the samples of known band tell English from other languages. One pass counts the words of all English
+The letter patterns of all samples of known band, counted and scored in the tasks, tell English from other languages. One pass counts the words of all English
 prose (combined per Arrow batch, then in SQL). The most frequent words, a bounded table, go to the second pass, which finds for
 every document the ranks that cover the SHARES of its words, with measures of sentence complexity. Documents whose covering rank
 lies beyond the table get it from a join with all counts. Samples, measured alike, calibrate the
@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,11 +29,11 @@ SHARES, TABLE_WORDS = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9), 65_536
 LINE_WORDS, LEAST_WORDS = 6, 80
 #: Added to the variance of every measure, in squared natural logarithms.
 RIDGE = 0.02
-#: Bands that samples may have; samples from which letter patterns are learnt (those of the least hashes, if there are more).
-BANDS, FIT_SAMPLES = 100, 5_000
+#: Bands that samples may have; parts of the samples, of which each is scored by the letters of the others.
+BANDS, FOLDS = 100, 4
 #: A text is English if its letters are more likely than this part of the way from the least likely sample to samples with words written backwards.
 FAR = 0.3
-#: Word scores kept by a worker.
+#: Word scores kept by a worker, at most.
 KEPT_WORDS = 1 << 20
 
 COVERAGE = tuple(f"coverage_{round(100 * s)}" for s in SHARES)
@@ -63,24 +63,23 @@ def split_words(text: str) -> list[str]:
 class Letters(dict):
     """Mean logarithm of the likelihood of a word's letters after the two before them; word: score."""
 
-    def __init__(self, three: dict[str, int], two: dict[str, int]):
+    def __init__(self, three: dict[str, int], two: dict[str, int], kept: int = KEPT_WORDS):
         super().__init__()
-        self.three, self.two = three, two
+        self.three, self.two, self.kept = three, two, kept
 
     @classmethod
     def learnt(cls, texts: list[list[str]]) -> Letters:
-        three: Counter[str] = Counter()
+        return cls.counted(triples(Counter(word for words in texts for word in words)))
+
+    @classmethod
+    def counted(cls, three: dict[str, int], kept: int = KEPT_WORDS) -> Letters:
         two: Counter[str] = Counter()
-        for words in texts:
-            for word, n in Counter(words).items():
-                written = f"  {word} "
-                for i in range(len(written) - 2):
-                    three[written[i : i + 3]] += n
-                    two[written[i : i + 2]] += n
-        return cls(dict(three), dict(two))
+        for written, n in three.items():
+            two[written[:2]] += n
+        return cls(three, dict(two), kept)
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= self.kept:
             self.clear()
         written = f"  {word} "
         likely = [(self.three.get(written[i : i + 3], 0) + 0.1) / (self.two.get(written[i : i + 2], 0) + 3.0) for i in range(len(written) - 2)]
@@ -91,21 +90,72 @@ class Letters(dict):
         return sum(map(self.__getitem__, words)) / len(words) if words else -math.inf
 
 
-def language(samples: DataFrame, fit_samples: int = FIT_SAMPLES) -> tuple[dict[str, int], dict[str, int], float]:
-    """Letters of the samples, and the least score of English: each quarter of the samples, as written and word by word
-    backwards, is scored by the letters of the others."""
-    rows = samples.where(F.col("sample_text").isNotNull()).select("sample_text").orderBy(F.xxhash64("sample_text"), "sample_text").limit(fit_samples).collect()
-    texts = [words for words in (split_words(prose(r["sample_text"])) for r in rows) if words]
-    scores, backwards = [], []
-    for k in range(4):
-        others = Letters.learnt([w for i, w in enumerate(texts) if i % 4 != k] or texts)
-        scores += [others.of(w) for i, w in enumerate(texts) if i % 4 == k]
-        backwards += [others.of([x[::-1] for x in w]) for i, w in enumerate(texts) if i % 4 == k]
-    letters = Letters.learnt(texts)
-    if not scores:
-        return letters.three, letters.two, math.inf  # nothing tells English
-    least = min(scores)
-    return letters.three, letters.two, least - FAR * max(0.0, least - sum(backwards) / len(backwards))
+def triples(words: dict[str, int]) -> dict[str, int]:
+    """Each three letters in a row of the words, which begin with two blanks and end with one, with their number."""
+    three: Counter[str] = Counter()
+    for word, n in words.items():
+        written = f"  {word} "
+        for i in range(len(written) - 2):
+            three[written[i : i + 3]] += n
+    return dict(three)
+
+
+def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body: words of the prose of each sample that has any, in order, blanks between."""
+    for batch in batches:
+        rows = [" ".join(words) for text in batch.column("sample_text").to_pylist() if (words := split_words(prose(text)))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["words"])
+
+
+def folded(batch: pa.RecordBatch, starts: dict[int, int]) -> Iterator[tuple[int, list[str]]]:
+    """Fold and words of each sample: the fold follows from its place, where its partition starts and its row there (id)."""
+    for i, words in zip(batch.column("id").to_pylist(), batch.column("words").to_pylist()):
+        yield (starts[i >> 33] + (i & ((1 << 33) - 1))) % FOLDS, words.split(" ")
+
+
+def lettered(batches: Iterator[pa.RecordBatch], starts: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body over (words, id): the triples of a batch by fold with their number."""
+    for batch in batches:
+        counts: dict[int, Counter[str]] = defaultdict(Counter)
+        for fold, words in folded(batch, starts):
+            counts[fold].update(words)
+        rows = [(fold, three, n) for fold, own in counts.items() for three, n in triples(own).items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64()))], names=["fold", "three", "n"])
+
+
+def scored(batches: Iterator[pa.RecordBatch], starts: dict[int, int], shared) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body over (words, id): scores of each sample by the letters of the other folds, as written and word by word
+    backwards."""
+    others = [Letters.counted(three, KEPT_WORDS // FOLDS) for three in shared.value]
+    for batch in batches:
+        rows = [(others[fold].of(words), others[fold].of([w[::-1] for w in words])) for fold, words in folded(batch, starts)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*rows)], names=["score", "backwards"])
+
+
+def language(samples: DataFrame) -> tuple[dict[str, int], dict[str, int], float]:
+    """Letters of all samples, and the least score of English: each fold of the samples, as written and word by word backwards,
+    is scored by the letters of the others. Samples with words go to the folds in turn, in order of the hashes of their texts. The
+    driver holds the different triples of letters and a number for each partition, however many samples there are."""
+    # row spreads a text repeated often over tasks; which of its copies comes first is all one
+    known = samples.where(F.col("sample_text").isNotNull()).select(F.xxhash64("sample_text").alias("hash"), F.hash("sample_text").alias("more"), F.monotonically_increasing_id().alias("row"), "sample_text")
+    texts = checkpointed(known.orderBy("hash", "more", "row").mapInArrow(worded, "words string").withColumn("id", F.monotonically_increasing_id()))
+    starts, at = {}, 0
+    for part, n in texts.groupBy(F.shiftright("id", 33).alias("part")).agg(F.count("*")).orderBy("part").collect():
+        starts[part], at = at, at + n
+    if not starts:
+        return {}, {}, math.inf  # nothing tells English
+    each = texts.mapInArrow(lambda it: lettered(it, starts), "fold int, three string, n bigint").groupBy("three")
+    counts = each.agg(*(F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)) for k in range(FOLDS))).collect()
+    letters = Letters.counted({three: sum(own) for three, *own in counts})
+    others = [{three: n for three, *own in counts if (n := sum(own) - own[k])} or letters.three for k in range(FOLDS)]
+    shared = samples.sparkSession.sparkContext.broadcast(others)
+    # a sum of decimals is the same in any order
+    exact = F.sum(F.col("backwards").cast("decimal(38,15)")).alias("backwards")
+    found = texts.mapInArrow(lambda it: scored(it, starts, shared), "score double, backwards double").agg(F.min("score").alias("least"), exact).first()
+    return letters.three, letters.two, found["least"] - FAR * max(0.0, found["least"] - float(found["backwards"]) / at)
 
 
 def told(shared) -> tuple[Letters, float]:
